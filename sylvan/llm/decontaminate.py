@@ -133,7 +133,7 @@ def _find(index: Index, ngram: int, threshold: float):
                 out.append([{"item_id": i, "first_word": at, "n_words": width + ngram - 1, "distance": d, "similarity": s} for i, at, width, d, s in found])
         return pd.Series(out)
 
-    return find
+    return find.asNondeterministic()  # so that the optimizer never evaluates it twice for a row
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, column: str, ngram: int = NGRAM, threshold: float = THRESHOLD, block: int = ITEM_BLOCK) -> DataFrame:

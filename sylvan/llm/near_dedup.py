@@ -297,7 +297,8 @@ def near_dedup(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD
     )
     names = scratch.table(needed.select("rep").distinct().join(of_rep.select(F.col("uid").alias("rep"), "doc_id", "text_key", "size"), "rep"), "names")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), text_of().alias("t"))
-    texts = names.join(text, names["doc_id"].eqNullSafe(text["doc_id"]) & (names["text_key"] == text["text_key"])).select("rep", "size", "t")
+    # Named as a shuffle join so that the plan, and with it what moves, is the same at every size.
+    texts = names.hint("merge").join(text, names["doc_id"].eqNullSafe(text["doc_id"]) & (names["text_key"] == text["text_key"])).select("rep", "size", "t")
     found = scratch.table(
         needed.join(texts, "rep").repartition(*key).sortWithinPartitions(*key, "place").mapInArrow(lambda it: _verify(it, ngram, threshold), "a long, b long, links long"),
         "found",

@@ -61,12 +61,8 @@ def text_key(column: str = "text") -> Column:
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of docs whose (doc_id, text_key) is not in ``dropped``.
-
-    ``dropped`` should be a written table: its file size then lets the planner
-    broadcast it below the session's threshold and shuffle it above.
-    """
-    d = dropped.select(F.col("doc_id").alias("dropped_doc_id__"), F.col("text_key").alias("dropped_text_key__"))
+    """Rows of docs whose (doc_id, text_key) is not in ``dropped``: a shuffle join, at every size the same."""
+    d = dropped.select(F.col("doc_id").alias("dropped_doc_id__"), F.col("text_key").alias("dropped_text_key__")).hint("merge")
     on = docs["doc_id"].eqNullSafe(d["dropped_doc_id__"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == d["dropped_text_key__"])
     return docs.join(d, on, "left_anti")
 

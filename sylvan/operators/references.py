@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import CorruptedReferencePathKeyNotFound, CyclicReference, ForestError, InvalidInput, ReferenceLimit
+from ..errors import CorruptedReferencePathKeyNotFound, CyclicReference, InvalidInput, ReferenceLimit
 from ..model import ABSOLUTE, COUSIN, ELEMENT_COLUMNS, REFERENCE, REMOVED_COUSIN, SIBLING, UPSTREAM_ELEMENT, UPSTREAM_ROOT, UPSTREAM_ROOT_WITH_PARENT, target, tree_id
 from ..sources.store import written
 
@@ -84,6 +84,3 @@ def inverse(path: Column, key: Column, ref: Column) -> Column:
         .when((kind == REMOVED_COUSIN) & (size > 0), F.when(F.size(segs) > 0, made(UPSTREAM_ELEMENT, F.size(segs), F.array(last, key))))
         .when(kind == SIBLING, made(SIBLING, zero, F.array(key)))
     )
-
-
-__all__ = ["MAX_HOPS", "ForestError", "absolute", "check", "follow", "inverse", "resolve"]

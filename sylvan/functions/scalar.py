@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..model import ITEM, ITEM_WITH_SUM, MERK_TREES, NAMES, REFERENCE, SUM_ITEM, TREES
+from ..model import ITEM, ITEM_WITH_SUM, KEYED_TREES, NAMES, REFERENCE, SUM_ITEM, TREES
 
 
 def varint_length(n: Column) -> Column:
@@ -48,7 +48,7 @@ def is_any_item(t: Column) -> Column:
 
 
 def is_non_empty_log(t: Column, log_count: Column, mmr_size: Column) -> Column:
-    return t.isin(*TREES) & ~t.isin(*MERK_TREES) & (F.coalesce(log_count, mmr_size, F.lit(0)) > 0)
+    return t.isin(*TREES) & ~t.isin(*KEYED_TREES) & (F.coalesce(log_count, mmr_size, F.lit(0)) > 0)
 
 
 def required_item_space(length: Column, flag_length: Column) -> Column:

@@ -17,8 +17,8 @@ NAMES = (
     "item with sum item", "provable count sum tree", "commitment tree", "mmr tree", "bulk append tree", "dense tree",
 )
 LOG_TREES = (COMMITMENT_TREE, MMR_TREE, BULK_APPEND_TREE, DENSE_TREE)
-MERK_TREES = (TREE, SUM_TREE, BIG_SUM_TREE, COUNT_TREE, COUNT_SUM_TREE, PROVABLE_COUNT_TREE, PROVABLE_COUNT_SUM_TREE)
-TREES = MERK_TREES + LOG_TREES
+KEYED_TREES = (TREE, SUM_TREE, BIG_SUM_TREE, COUNT_TREE, COUNT_SUM_TREE, PROVABLE_COUNT_TREE, PROVABLE_COUNT_SUM_TREE)
+TREES = KEYED_TREES + LOG_TREES
 SUMMING = (SUM_TREE, COUNT_SUM_TREE, PROVABLE_COUNT_SUM_TREE)
 COUNTING = (COUNT_TREE, COUNT_SUM_TREE, PROVABLE_COUNT_TREE, PROVABLE_COUNT_SUM_TREE)
 

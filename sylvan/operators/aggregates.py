@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import Overflow, WrongElementType
-from ..model import BIG_SUM_TREE, COUNTING, ELEMENT_COLUMNS, ITEM_WITH_SUM, MERK_TREES, SUM_ITEM, SUMMING, any_of, contribution, tree_id
+from ..model import BIG_SUM_TREE, COUNTING, ELEMENT_COLUMNS, ITEM_WITH_SUM, KEYED_TREES, SUM_ITEM, SUMMING, any_of, contribution, tree_id
 from ..plans.compile import in_tree
 from ..plans.query import AggregateSumQuery
 from ..sources.store import written
@@ -47,9 +47,9 @@ def propagate(nodes: DataFrame) -> DataFrame:
     tree elements change; each pass joins the trees of one level with what
     they hold, and the result of a level is written before the next reads it.
     """
-    trees = nodes.where(F.col("element_type").isin(*MERK_TREES))
+    trees = nodes.where(F.col("element_type").isin(*KEYED_TREES))
     depths = sorted((r["d"] for r in trees.select(F.size("path").alias("d")).distinct().collect()), reverse=True)
-    plain = nodes.where(~F.col("element_type").isin(*MERK_TREES))
+    plain = nodes.where(~F.col("element_type").isin(*KEYED_TREES))
     below = None
     done: list[DataFrame] = []
     for d in depths:

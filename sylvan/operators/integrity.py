@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidProof, NotSupported
 from ..functions.hashing import ZERO, blake3, blake3_many, kv_hashes, node_hashes, value_hashes
 from ..functions.serde import deserialize, of_row
-from ..model import ELEMENT_COLUMNS, MERK_TREES, is_tree, tree_id
+from ..model import ELEMENT_COLUMNS, KEYED_TREES, is_tree, tree_id
 from ..plans.compile import in_tree
 from ..plans.query import PathQuery, Query, QueryItem, span
 from ..sources.store import written
@@ -81,7 +81,7 @@ def _digests(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
             if not rows:
                 continue
             d = value_hashes([of_row(r) for r in rows])
-            below = [i for i, r in enumerate(rows) if r["element_type"] in MERK_TREES]
+            below = [i for i, r in enumerate(rows) if r["element_type"] in KEYED_TREES]
             for i, h in zip(below, blake3_many([d[i] + bytes(rows[i]["root"] or ZERO) for i in below]), strict=True):
                 d[i] = h
             kv = kv_hashes([bytes(r["key"]) for r in rows], d)
@@ -208,7 +208,7 @@ def prove_query(nodes: DataFrame, pq: PathQuery) -> Layer:
             raise NotSupported(f"the tree at {path} is too large for a proof")
         here = [bytes(r["key"]) for r in rows]
         values = {bytes(r["key"]): of_row(r) for r in rows}
-        trees = {bytes(r["key"]) for r in rows if r["element_type"] in MERK_TREES}
+        trees = {bytes(r["key"]) for r in rows if r["element_type"] in KEYED_TREES}
         known = {bytes(r["path"][-1]): bytes(r["root"]) for r in roots.where((F.size("path") == len(path) + 1)).join(in_tree(nodes, path).where(is_tree()).select(F.concat("path", F.array("key")).alias("path")), "path", "left_semi").collect()}
         child = {k: known.get(k, ZERO) for k in trees}
         out = Layer(_partial(here, values, child, items)[0])
@@ -258,7 +258,7 @@ def verify_query(proof: Layer, pq: PathQuery, root: bytes) -> list[tuple[tuple[b
                 d = v
             else:
                 d = value_hashes([v])[0]
-                if v[0] in MERK_TREES:
+                if v[0] in KEYED_TREES:
                     d = blake3(d + (below or ZERO))
                 if match:
                     shown[k] = (v, below)
@@ -269,7 +269,7 @@ def verify_query(proof: Layer, pq: PathQuery, root: bytes) -> list[tuple[tuple[b
         for i in items if forward else list(items)[::-1]:
             for k in sorted((k for k in shown if i.contains(k)), reverse=not forward):
                 v, below = shown[k]
-                sub = enter(k) if v[0] in MERK_TREES else None
+                sub = enter(k) if v[0] in KEYED_TREES else None
                 if sub is None:
                     if enter is not None and not getattr(enter, "walking", False):
                         out.append((path, k, deserialize(v)))

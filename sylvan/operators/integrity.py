@@ -298,6 +298,66 @@ def verify_query(proof: Layer, pq: PathQuery, root: bytes) -> list[tuple[tuple[b
     return out
 
 
+def prove_query_many(nodes: DataFrame, queries: Sequence[PathQuery]) -> Layer:
+    """One proof for several queries: that of their merger. Each of them can be verified on it."""
+    return prove_query(nodes, PathQuery.merge(queries))
+
+
+def verify_query_exactly(proof: Layer, pq: PathQuery, root: bytes) -> list[tuple[tuple[bytes, ...], bytes, dict]]:
+    """verify_query, and an error if the proof shows values that the query does not ask for."""
+    out = verify_query(proof, pq, root)
+
+    def shown(p: Layer, path: tuple[bytes, ...]) -> Iterator[tuple[tuple[bytes, ...], bytes]]:
+        def walk(t: tuple | None) -> Iterator[tuple[tuple[bytes, ...], bytes]]:
+            if t and t[0] != "hash":
+                if t[0] == "kv":
+                    yield path, t[1]
+                yield from walk(t[4])
+                yield from walk(t[5])
+
+        yield from walk(p.tree)
+        for k, below in p.below.items():
+            yield from shown(below, (*path, k))
+
+    for path, k in shown(proof, ()):
+        items = pq.query_items_at_path(path)
+        if items is None or not any(i.contains(k) for i in items):
+            raise InvalidProof(f"the proof shows {k!r} at {path}, which the query does not ask for")
+    return out
+
+
+def verify_with_absence(proof: Layer, pq: PathQuery, root: bytes, most: int) -> list[tuple[tuple[bytes, ...], bytes, dict | None]]:
+    """A row for every key that the query could return, None for those proved not to be there."""
+    found = {(p, k): e for p, k, e in verify_query(proof, pq, root)}
+    return [(p, k, found.get((p, k))) for p, k in pq.terminal_keys(most)]
+
+
+def verify_chained(proof: Layer, first: PathQuery, then: Sequence, root: bytes) -> list[list[tuple[tuple[bytes, ...], bytes, dict]]]:
+    """Dependent queries on one proof: each of ``then`` makes the next query from the rows of the last, or None to stop."""
+    out = [verify_query(proof, first, root)]
+    for make in then:
+        pq = make(out[-1])
+        if pq is None:
+            break
+        out.append(verify_query(proof, pq, root))
+    return out
+
+
+def boundaries(proof: Layer, path: Sequence[bytes]) -> list[bytes]:
+    """Keys of a layer that stand in the proof without their values: they show what is not there."""
+    for k in path:
+        if k not in proof.below:
+            raise InvalidProof(f"the proof has no layer at {tuple(path)}")
+        proof = proof.below[k]
+
+    def walk(t: tuple | None) -> list[bytes]:
+        if not t or t[0] == "hash":
+            return []
+        return walk(t[4]) + ([t[1]] if t[0] == "digest" else []) + walk(t[5])
+
+    return walk(proof.tree)
+
+
 # Chunks of levels
 
 

@@ -422,6 +422,47 @@ def dense_verify(proof: dict, root: bytes) -> dict[int, bytes]:
     return known
 
 
+def bulk_prove(values: Sequence[bytes], power: int, start: int, end: int) -> dict:
+    """What shows the entries [start, end) of a bulk tree to a reader who knows its state root: whole chunks, and the buffer."""
+    whole = len(values) >> power
+    blobs = [serialize_chunk(values[k << power : (k + 1) << power]) for k in range(whole)]
+    m = Mmr(blobs)
+    need = [k for k in range(whole) if k << power < end and (k + 1) << power > start]
+    return {"n": len(values), "power": power, "chunks": {k: blobs[k] for k in need}, "mmr": m.prove(need), "buffer": list(values[whole << power :])}
+
+
+def bulk_verify(proof: dict, root: bytes, start: int, end: int) -> dict[int, bytes]:
+    """Entries [start, end) by position, if the proof leads to the state root and leaves none of them out."""
+    n, power = proof["n"], proof["power"]
+    whole = n >> power
+    if proof["mmr"]["n"] != whole or len(proof["buffer"]) != n - (whole << power):
+        raise InvalidProof("the counts do not agree")
+    mmr = bag(proof["mmr"]["peaks"])
+    if blake3(b"bulk_state" + mmr + dense_root(proof["buffer"])) != root:
+        raise InvalidProof("the parts do not give the state root")
+    verify_mmr(proof["mmr"], proof["chunks"], mmr)
+    known = {(whole << power) + i: v for i, v in enumerate(proof["buffer"])}
+    for k, blob in proof["chunks"].items():
+        known |= {(k << power) + i: v for i, v in enumerate(deserialize_chunk(blob))}
+    wanted = range(start, min(end, n))
+    if any(p not in known for p in wanted):
+        raise InvalidProof("an entry is left out")
+    return {p: known[p] for p in wanted}
+
+
+def positions_of(items: Sequence[QueryItem], n: int, size: int) -> list[int]:
+    """Positions below n that items over big-endian keys ask for: for proofs, which are about few."""
+    return [p for p in range(n) if any(i.contains(p.to_bytes(size, "big")) for i in items)]
+
+
+def dense_verify_for_query(proof: dict, root: bytes, items: Sequence[QueryItem]) -> dict[int, bytes]:
+    """dense_verify, and an error unless the proof shows just the positions asked for."""
+    found = dense_verify(proof, root)
+    if sorted(found) != positions_of(items, proof["n"], 2):
+        raise InvalidProof("the proof is about other positions")
+    return found
+
+
 # Commitments: entries of a fixed shape; the curve's own tree is out of scope
 
 

@@ -314,6 +314,33 @@ def test_proofs(spark):
         integrity.prove_query(nodes, PathQuery((A,), Query.all(), limit=0))
 
 
+def test_more_proofs(spark):
+    nodes = m.frame(spark, [element([], A, m.TREE), element([], B, m.TREE)] + [element([t], int_key(i), m.ITEM, item=b"%d" % i) for t in (A, B) for i in range(12)])
+    root = integrity.root_hash(nodes)
+    two = [PathQuery((A,), Query([span("range", int_key(2), int_key(5))])), PathQuery((B,), Query.one(int_key(7)))]
+    proof = integrity.prove_query_many(nodes, two)
+    assert [len(integrity.verify_query(proof, q, root)) for q in two] == [3, 1]
+    with pytest.raises(errors.InvalidProof):
+        integrity.verify_query_exactly(proof, two[0], root)
+    one = integrity.prove_query(nodes, two[0])
+    assert len(integrity.verify_query_exactly(one, two[0], root)) == 3 and integrity.boundaries(one, (A,))
+    gone = PathQuery((A,), Query([key(int_key(3)), key(b"no")]))
+    rows = integrity.verify_with_absence(integrity.prove_query(nodes, gone), gone, root, 5)
+    assert [(k, e is None) for _, k, e in rows] == [(int_key(3), False), (b"no", True)]
+    chained = integrity.verify_chained(proof, two[0], [lambda rows: two[1] if len(rows) == 3 else None, lambda rows: None], root)
+    assert [len(r) for r in chained] == [3, 1]
+    values = [b"%d" % i for i in range(21)]
+    state = hashing.blake3(b"bulk_state" + logs.Mmr([logs.serialize_chunk(values[k : k + 4]) for k in range(0, 20, 4)]).root() + logs.dense_root(values[20:]))
+    p = logs.bulk_prove(values, 2, 6, 21)
+    assert logs.bulk_verify(p, state, 6, 21) == {i: values[i] for i in range(6, 21)}
+    with pytest.raises(errors.InvalidProof):
+        logs.bulk_verify(p, state, 0, 21)
+    dense = logs.dense_prove(values, [2, 3])
+    assert logs.dense_verify_for_query(dense, logs.dense_root(values), [span("range_inclusive", b"\0\2", b"\0\3")]) == {2: b"2", 3: b"3"}
+    with pytest.raises(errors.InvalidProof):
+        logs.dense_verify_for_query(dense, logs.dense_root(values), [span("range_full")])
+
+
 def test_depths_and_trunks(spark):
     assert [integrity.max_depth_of(n) for n in (0, 1, 2, 4, 7, 12, 88, 100)] == [0, 1, 2, 3, 4, 5, 9, 9]
     assert [integrity.chunk_depths(*a) for a in ((20, 8), (15, 5), (10, 4), (5, 10))] == [[7, 7, 6], [5, 5, 5], [4, 3, 3], [5]]

@@ -27,6 +27,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.paths: set[str] = set()
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -35,14 +36,22 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
+        self.paths.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Removes a table that nothing reads any more."""
+        self.paths.discard(df.scratch_path)
         remove(self.spark, df.scratch_path)
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Removes all tables but these."""
+        for path in self.paths - {t.scratch_path for t in tables}:
+            self.paths.discard(path)
+            remove(self.spark, path)
+
 
 def remove(spark: SparkSession, path: str) -> None:
     jvm, p = spark.sparkContext._jvm, None

@@ -98,6 +98,9 @@ def exact_dedup(docs: DataFrame, digest_bits: int = 64, scratch: Scratch | None
     lists = lists.select("uid", F.transform("l", lambda x: F.struct(x["digest"].alias("digest"), x["rank"].alias("rank"))).alias("recipe"))
     told = scratch.table(recipes.drop("digests", "checks").join(lists, "uid"), "lists")
     groups = told.groupBy("recipe").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", (-F.col("uid")).alias("u"))).alias("keep"))
+    # Written, so that both sides of the join are plain shuffles, which Spark splits where a recipe is frequent.
+    groups = scratch.table(groups, "groups")
+    scratch.keep(told, groups)
     return told.join(groups, "recipe").select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
@@ -115,6 +118,7 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     found = scratch.table(exact_dedup(docs, scratch=scratch).select("doc_id", "keep_id", "kept", "text_key"), "found")
     again = scratch.table(found.where("not kept and doc_id <=> keep_id").select("doc_id", "text_key").distinct(), "again")
     gone = scratch.table(found.where("not kept and not doc_id <=> keep_id").select("doc_id", "text_key").distinct(), "gone")
+    scratch.keep(again, gone)
     out = without_rows(docs, gone)
     if again.isEmpty():
         return out

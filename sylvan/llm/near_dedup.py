@@ -315,6 +315,9 @@ def near_dedup(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD
         "members",
     )
     first = member.groupBy("class").agg(F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("first"))
+    # Written, so that both sides of the join are plain shuffles, which Spark splits where a class is large.
+    first = scratch.table(first, "first")
+    scratch.keep(member, first)
     return member.join(first, "class").select("doc_id", F.col("first.doc_id").alias("class_id"), "n_links", "class_size", (F.col("uid") == F.col("first.uid")).alias("first_of_class"), "text_key")
 
 
@@ -325,4 +328,5 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     kept = found.where("first_of_class").select("doc_id", "text_key")
     gone = found.where("not first_of_class").select("doc_id", "text_key").distinct()
     gone = scratch.table(gone.join(kept.withColumnsRenamed({"doc_id": "d", "text_key": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left_anti"), "gone")
+    scratch.keep(gone)
     return without_rows(docs, gone)

@@ -518,7 +518,7 @@ def delete_tree(spark, sf):
     return _pair(writes.delete(f, gone, writes.DeleteOptions(allow_non_empty_trees=True)).where("size(path) = 2"))
 
 
-@case("SELECT c_custkey AS k FROM customer WHERE c_custkey <> (SELECT min(o_custkey) FROM orders GROUP BY o_custkey HAVING count(*) = 1 ORDER BY 1 LIMIT 1)")
+@case("SELECT c_custkey AS k FROM customer WHERE c_custkey IS DISTINCT FROM (SELECT min(o_custkey) FROM orders GROUP BY o_custkey HAVING count(*) = 1 ORDER BY 1 LIMIT 1)")
 def delete_up_tree(spark, sf):
     """Deletes a customer's only order: the customer's tree, empty then, goes too; the tree above does not."""
     f = by_customer(spark, sf, m.TREE)

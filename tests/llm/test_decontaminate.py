@@ -17,6 +17,12 @@ def brute(docs, items, t=0.8):
     for k, (d, text) in enumerate(docs):
         g = grams(text)
         for i, item in items:
+            short = (item or "").lower().split()
+            if 0 < len(short) < 5:
+                w = (text or "").lower().split()
+                if any(w[a : a + len(short)] == short for a in range(len(w) - len(short) + 1)):
+                    out[k, i] = 1.0
+                continue
             want = Counter(grams(item))
             size = sum(want.values())
             if not size or not g:
@@ -31,7 +37,7 @@ def brute(docs, items, t=0.8):
 def case():
     rng = random.Random(8)
     say = lambda n: [f"w{rng.randrange(300)}" for _ in range(n)]
-    items = [(i, " ".join(say(rng.randrange(8, 70)))) for i in range(40)] + [(100, None), (101, "two words"), (102, "a b a b a b a b a b a b a b")]
+    items = [(i, " ".join(say(rng.randrange(8, 70)))) for i in range(40)] + [(100, None), (101, "two words"), (103, "Rare"), (104, "one two three four"), (102, "a b a b a b a b a b a b a b")]
     items.append(items[0])
     docs = []
     for d in range(120):
@@ -45,7 +51,7 @@ def case():
             at = rng.randrange(len(w) + 1)
             w[at:at] = [x.upper() for x in part]
         docs.append((d, "\n ".join(w)))
-    docs += [(500, None), (501, ""), (502, "Two  words"), (503, "x " * 20000 + items[3][1]), (None, items[4][1]), (1, docs[1][1]), (504, "a b a b a b a b a b a b a b")]
+    docs += [(500, None), (501, ""), (502, "Two  words"), (505, "so many of two words\nthere"), (506, "rare one two three four"), (507, "one two three"), (503, "x " * 20000 + items[3][1]), (None, items[4][1]), (1, docs[1][1]), (504, "a b a b a b a b a b a b a b")]
     return docs, items
 
 

@@ -244,7 +244,21 @@ def test_token_counts_against_a_loop(spark):
     n = sorted(len(tokens.encoder(tokens.VOCABULARY).encode_ordinary(t or "")) for t in texts)
     sums = tokens.token_counts(docs)
     want = [(x, n.count(x), sum(v >= x for v in n), sum(v for v in n if v >= x), sum(min(v, x) for v in n), sum(n) - sum(min(v, x) for v in n), sum(v <= x for v in n) / len(n)) for x in sorted(set(n))]
-    assert sorted(map(tuple, sums.collect())) == want
+    rows = sorted(sums.collect())
+    assert [tuple(r)[:7] for r in rows] == want
+    for limit in [*range(0, 700, 7), *range(700, n[-1] + 1, 997)]:  # every limit lies in one row
+        (r,) = [r for r in rows if r.limit_from <= limit <= r.n_tokens]
+        assert (r.docs_ge, r.tokens_total - r.tokens_ge + limit * r.docs_ge) == (sum(v >= limit for v in n), sum(min(v, limit) for v in n))
     limits = [0, 1, 100, 512, 4096, 10**6]
     assert sorted(map(tuple, tokens.at_limits(sums, limits).collect())) == [(x, sum(v > x for v in n), sum(n), sum(min(v, x) for v in n)) for x in limits]
     assert tokens.token_counts(docs.limit(0)).count() == 0 and [tuple(r) for r in tokens.at_limits(sums.limit(0), [5]).collect()] == [(5, 0, 0, 0)]
+
+
+def test_long_runs_are_encoded_as_the_pattern_would():
+    whole = tokens.encoder(tokens.VOCABULARY).encode_ordinary
+    rng = random.Random(4)
+    for _ in range(60):
+        t = "".join(rng.choice(["a b", "x", "é", "\n", "'s ", "9", ""]) + rng.choice([" ", "\n", "\u3000", " \n\t"]) * rng.choice([1, 3, 4095, 4096, 5000]) for _ in range(4)) + rng.choice(["", "end", "\x1f"])
+        assert tokens.encode(t) == whole(t)
+    for t in (" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "a" * 2_000_000, " a" * 1_000_000):
+        assert len(tokens.encode(t)) > 10**5

@@ -25,7 +25,9 @@ ASSIGN_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of [0-9a-f]+ that are long enough
 ACCOUNT = re.compile(r"""\b(client_?id|access_?key_?id|account|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,})""", re.ASCII | re.IGNORECASE)
-ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]*://[^\s"'<>]{4,}""", re.ASCII | re.IGNORECASE)
+SCHEME_START = re.compile(r"\b[a-z]", re.ASCII | re.IGNORECASE)
+SCHEME = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-"
+ADDRESS = re.compile(r"""[^\s"'<>]{4,}""", re.ASCII)
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 KINDS = ("assign", "access", "hex", "account", "endpoint", "weak")
 SCOPE = 300  # characters between parts that belong together
@@ -45,6 +47,21 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    r"""Matches of ``\b[a-z][a-z0-9+.-]*://[^\s"'<>]{4,}``, in either case, found from each :// to its left: a search from the left is quadratic."""
+    out, last = [], 0
+    colon = text.find("://")
+    while colon >= 0:
+        run = text[last:colon]
+        start = SCHEME_START.search(text, colon - (len(run) - len(run.rstrip(SCHEME))), colon)
+        address = ADDRESS.match(text, colon + 3) if start else None
+        if address:
+            out.append((start.start(), address.end()))
+        last = address.end() if address else colon + 3  # a scheme holds no colon, so none starts before this one
+        colon = text.find("://", last)
+    return out
+
+
 def looks_random(token: str) -> bool:
     """Letters of both cases and digits, and many different characters."""
     if not (re.search("[a-z]", token) and re.search("[A-Z]", token) and re.search("[0-9]", token)):
@@ -87,7 +104,7 @@ def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
     strong = [s for s in base if s[1] != 1]
     if not identifiers:
         return []
-    ends = _clear([(m.start(), 4, m.end()) for m in ENDPOINT.finditer(text)], sorted(base + accounts)) if "://" in text else []
+    ends = _clear([(s, 4, e) for s, e in endpoints(text)], sorted(base + accounts)) if "://" in text else []
     tokens = _clear([(m.start(), 5, m.end()) for m in TOKEN.finditer(text) if looks_random(m[0])], sorted(base + accounts + ends))
     tokens = [t for t, ok in zip(tokens, near(tokens, identifiers, scope), strict=True) if ok]
     secrets = _merged(strong + tokens)

@@ -1,19 +1,22 @@
 """Chat formatting by incremental black-box rendering.
 
 The template is a function from turns to a string and nothing else is known
-of it. Each successive prefix of a conversation is rendered; what the next
-prefix adds is that turn's span. Where the text lies in it is found by two
-probes, renderings with one-character texts, whose first difference is where
-texts start. A template that changes what it wrote for earlier turns is
-detected, and such a conversation is flagged.
+of it. Each successive prefix of a conversation is rendered, and so is that
+prefix with one-character probes for texts; what a prefix adds to the one
+before is its turn's span, and what it adds beyond the probe's is the text.
+Two renderings with different probes differ just where texts stand. Where a
+template changes what it wrote for earlier turns, or leaves out or repeats a
+text, that is detected, and each turn's text is located by probes of its own.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 from hashlib import sha256
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,12 +40,19 @@ def escape_role(role: str) -> str:
     return re.sub(r"[\\#<:]", r"\\\g<0>", role)
 
 
+@lru_cache(maxsize=4096)
+def _turn(role: str, text: str) -> str:
+    return f"### {escape_role(role)}: {escape(text)}</turn>\n"
+
+
 def default_template(turns: Sequence[Turn]) -> str:
-    return "".join(f"### {escape_role(r)}: {escape(t)}</turn>\n" for r, t in turns)
+    return "".join([_turn(*t) for t in turns])
 
 
 def _alike(a: str, b: str) -> int:
     """Length of the common start."""
+    if b.startswith(a):
+        return len(a)
     lo, hi = 0, min(len(a), len(b))
     while lo < hi:
         mid = (lo + hi + 1) // 2
@@ -53,23 +63,52 @@ def _alike(a: str, b: str) -> int:
     return lo
 
 
+def _differences(a: str, b: str) -> list[int]:
+    """Places in which two strings of one length differ."""
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    return np.flatnonzero(x != y).tolist()
+
+
 def render(turns: Sequence[Turn], template: Template = default_template) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]], bool]:
-    """(output, span of each turn, span of each turn's text, whether the template rewrote history)."""
-    done, rewrote, whole, texts = template(()), False, [], []
-    for k, (role, text) in enumerate(turns):
-        out = template(turns[: k + 1])
+    """(output, span of each turn, span of each turn's text, whether the template rewrote history).
+
+    Two renderings a turn, of the prefix that ends with it. Each is as long as
+    the prefix, so the time is that of the template times the turns.
+    """
+    done, probe, plain = template(()), template(()), True
+    rewrote, whole, added = False, [], []
+    probes = tuple((role, PROBES[0]) for role, _ in turns)
+    for k in range(len(turns)):
+        out, shape = template(turns[: k + 1]), template(probes[: k + 1])
         same = _alike(done, out)
-        if same < len(done):
-            rewrote = True
+        rewrote = rewrote or same < len(done)
+        plain = plain and shape.startswith(probe)
+        whole.append((same, len(out)))
+        added.append(len(out) - len(done) - (len(shape) - len(probe)) + 1)
+        done, probe = out, shape
+    other = template(tuple((role, PROBES[1]) for role, _ in turns))
+    places = _differences(probe, other) if len(probe) == len(other) else []
+    if rewrote or not plain or len(places) != len(turns) or min(added, default=0) < 0:
+        return done, whole, _one_by_one(turns, template, done, rewrote), rewrote
+    texts, moved = [], 0
+    for place, n in zip(places, added, strict=True):
+        texts.append((place + moved, place + moved + n))
+        moved += n - 1
+    return done, whole, texts, rewrote
+
+
+def _one_by_one(turns: Sequence[Turn], template: Template, done: str, rewrote: bool) -> list[tuple[int, int]]:
+    """Span of each turn's text, each by three more renderings of the prefix that ends with it."""
+    texts = []
+    for k, (role, _) in enumerate(turns):
+        out = template(turns[: k + 1])
         empty = template((*turns[:k], (role, "")))
         a, b = (template((*turns[:k], (role, p))) for p in PROBES)
         start = _alike(a, b)
-        whole.append((same, len(out)))
-        texts.append((start, start + len(out) - len(empty)))
-        done = out
-    if rewrote:  # spans found on the way may have moved: keep those that the last rendering still shows
-        texts = [s if template(turns[: k + 1])[s[0] : s[1]] == done[s[0] : s[1]] else (0, 0) for k, s in enumerate(texts)]
-    return done, whole, texts, rewrote
+        span = start, start + len(out) - len(empty)
+        # Spans found on the way may have moved: kept are those that the last rendering still shows.
+        texts.append(span if not rewrote or out[slice(*span)] == done[slice(*span)] else (0, 0))
+    return texts
 
 
 def parse(out: str) -> list[Turn]:
@@ -89,7 +128,8 @@ def format_chats(rows: DataFrame, template: Template = default_template, loss_ro
     texts and roles are empty; turns go by turn (null first), then role and
     text; repeated rows are repeated turns; a null conv_id is a conversation
     like others. Other columns are ignored; no rows give no rows. A
-    conversation is rendered as a whole in one task.
+    conversation is one sequence to train on, so it is rendered as a whole in
+    one task; very long texts in it are rendered whole.
     """
     roles = frozenset(loss_roles)
     turns = rows.select("conv_id", F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
@@ -107,7 +147,7 @@ def format_chats(rows: DataFrame, template: Template = default_template, loss_ro
 
 
 def with_extra(rows: DataFrame) -> DataFrame:
-    """rows and the conversation whose texts hold the template's own control strings."""
+    """rows and the conversation whose texts hold the template's own control strings. Rows that are under its id already are turns of it, in order of turn."""
     spark = rows.sparkSession
     extra = spark.createDataFrame([(EXTRA_ID, 0, "user", EXTRA_TEXT), (EXTRA_ID, 1, "assistant", EXTRA_TEXT)], "conv_id long, turn long, role string, text string")
     return rows.select("conv_id", "turn", "role", "text").unionByName(extra)

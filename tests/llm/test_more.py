@@ -207,6 +207,40 @@ def test_templates_that_rewrite_history():
     assert rewrote and out.endswith("[end]") and [out[a:b] for a, b in texts] == ["ab", "[e"]
 
 
+def test_spans_equal_those_of_probes_turn_by_turn():
+    turns = tuple(odd_turns())
+    templates = [
+        chat.default_template,
+        lambda ts: "<s>" + "".join(f"[{r}]{t}[/{r}]" for r, t in ts),  # unescaped, with a head
+        lambda ts: "".join(f"{r}: {t.strip()}\n" for r, t in ts),  # strips texts
+        lambda ts: "".join(f"{r}: {t}\n" for r, t in ts if r != "user"),  # leaves texts out
+        lambda ts: "".join(f"{t} ({r}: {t})\n" for r, t in ts),  # repeats texts
+        lambda ts: "".join(f"{k}.{r}:{t}" for k, (r, t) in enumerate(ts)),
+    ]
+    for template in templates:
+        for k in range(0, 60, 5):
+            out, whole, texts, rewrote = chat.render(turns[k : k + 5], template)
+            assert not rewrote and out == template(turns[k : k + 5])
+            want = chat._one_by_one(turns[k : k + 5], template, out, False)
+            if template is not templates[2]:
+                assert texts == want
+            assert [out[a:b] for a, b in whole] == [template(turns[k : k + i + 1])[len(template(turns[k : k + i])) :] for i in range(5)]
+
+
+def test_a_long_conversation_takes_seconds():
+    turns = tuple(odd_turns()[k % 300] for k in range(2000))
+    began = time.perf_counter()
+    out, _, texts, _ = chat.render(turns)
+    assert time.perf_counter() - began < 10
+    assert chat.parse(out) == list(turns) and [chat.unescape(out[a:b]) for a, b in texts] == [t for _, t in turns]
+
+
+def test_rows_under_the_extra_id_join_its_conversation(spark):
+    frame = spark.createDataFrame([(-7, 2, "assistant", "more")], "conv_id long, turn long, role string, text string")
+    (r,) = chat.digests(chat.format_chats(chat.with_extra(frame))).collect()
+    assert (r.conv_id, r.n_turns, r.loss_chars) == (-7, 3, len(chat.EXTRA_TEXT) + 4)
+
+
 def test_chats(spark):
     rows = [(c, k, r, t, 0) for c in range(20) for k, (r, t) in enumerate(odd_turns()[c * 7 : c * 7 + c % 8])]
     rows += [(50, 0, None, None, 0), (51, 1, "assistant", "b", 0), (51, 0, "assistant", "a", 0), (51, 1, "assistant", "b", 0), (None, None, "user", "x", 0), (52, 0, "user", "long " * 20000, 0)]

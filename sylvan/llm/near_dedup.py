@@ -6,8 +6,8 @@ values of each pair are compared some at a time; a pair is dropped as soon as
 the posterior probability (uniform prior) that its similarity reaches the
 threshold is below the tolerance. What is left is verified on the whole sets.
 
-Pairs never leave a task. A bucket larger than a block is dealt as pairs of
-blocks, and a task reports, for each row, the number of its links and a
+Pairs never leave a task. A bucket larger than a block, by members or by the
+n-grams in them, is dealt as pairs of blocks, and a task reports, for each row, the number of its links and a
 forest of the links found; a pair that shares several buckets is handled in
 the first of its bands only.
 """
@@ -31,7 +31,8 @@ BANDS, BAND_ROWS = 28, 4  # a pair at 0.8 shares no band once in 2.6 million tim
 HASHES = BANDS * BAND_ROWS
 STEP = 16  # min-hash values compared at a time
 TOLERANCE = 1e-6
-BLOCK = 512
+BLOCK = 512  # members of a bucket compared in one group with as many others
+BLOCK_GRAMS = 1 << 21  # and their n-grams, so that long texts make smaller blocks
 _rng = np.random.default_rng(4242)
 FLIP = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
 TIMES = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -106,7 +107,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         at = edges(t)
         if len(at) > 1:
             yield t.slice(0, at[-1]), np.append(at[:-1], at[-1])
-            held = [pa.Table.from_batches(t.slice(at[-1]).to_batches()).combine_chunks().to_batches()[0]]
+            held = pa.Table.from_batches(t.slice(at[-1]).to_batches()).combine_chunks().to_batches()
     if held:
         t = pa.Table.from_batches(held)
         yield t, np.append(edges(t), len(t))
@@ -260,7 +261,7 @@ def _forest(links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def near_dedup(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
+def near_dedup(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, block_grams: int = BLOCK_GRAMS, scratch: Scratch | None = None) -> DataFrame:
     """Classes of near copies: one row per row of docs.
 
     Columns: doc_id, class_id (smallest doc_id among the rows joined by
@@ -274,7 +275,11 @@ def near_dedup(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD
     columns are ignored; an empty table gives no rows.
 
     Pairs at the threshold are missed with a probability near 4e-7 (bands)
-    and a few times ``tolerance`` (pruning); every link reported is exact.
+    and a few times ``tolerance`` (pruning); the similarity of every pair
+    left is that of the whole sets of 64-bit n-gram hashes, and sets of one
+    size with the same two 64-bit sums count as equal. The pairs within a
+    family of near copies that differ are all compared, as their links are
+    all counted: work there grows with the square of its different texts.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near_dedup")
@@ -283,10 +288,11 @@ def near_dedup(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD
     full = signed.where("n > 0")
     reps = scratch.table(full.groupBy("fp1", "fp2", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("size")), "reps")
     of_rep = signed.join(reps.select(F.col("rep").alias("uid"), "size"), "uid")
-    banded = of_rep.select(F.col("uid").alias("rep"), F.posexplode("bands").alias("band", "bucket"))
-    several = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    shared = scratch.table(banded.join(several, "bucket"), "shared")
-    dealt = shared.withColumn("parts", F.ceil(F.col("members") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep", "bucket"), "parts").cast("int"))
+    banded = of_rep.select(F.col("uid").alias("rep"), "n", F.posexplode("bands").alias("band", "bucket"))
+    several = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("grams")).where("members > 1")
+    shared = scratch.table(banded.drop("n").join(several, "bucket"), "shared")
+    parts = F.least(F.col("members"), F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("grams") / block_grams)))
+    dealt = shared.withColumn("parts", parts.cast("int")).withColumn("part", F.pmod(F.xxhash64("rep", "bucket"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("rep", "band", "bucket", "part", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"))
     with_sig = dealt.join(signed.select(F.col("uid").alias("rep"), "n", "sig"), "rep")

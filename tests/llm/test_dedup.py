@@ -3,6 +3,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sylvan.llm.common import Scratch, connected_components
 from sylvan.llm.exact_dedup import cut_points, drop_exact_copies, exact_dedup
@@ -83,10 +84,10 @@ def brute(rows, t=0.8):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [512, 7])
-def test_near_dedup_against_all_pairs(spark, block):
+@pytest.mark.parametrize("block, grams", [(512, 1 << 21), (7, 1 << 21), (512, 1500)])
+def test_near_dedup_against_all_pairs(spark, block, grams):
     rows = corpus()
-    got = near_dedup(frame(spark, rows), block=block).collect()
+    got = near_dedup(frame(spark, rows), block=block, block_grams=grams).collect()
     assert sorted(((r.doc_id, r.class_id, r.n_links, r.class_size) for r in got), key=str) == brute(rows)
     assert sum(r.first_of_class for r in got) == len({(r.class_id, r.text_key if r.class_size == 1 else 0) for r in got})
 
@@ -187,3 +188,18 @@ def test_cut_points_follow_content():
     moved = cut_points(b"x" * 100 + data)
     assert len(set(ends) & {e - 100 for e in moved}) > 0.8 * len(ends)
     assert cut_points(b"") == [0] and cut_points(b"a" * 20_000)[-1] == 20_000
+
+
+def test_groups_keep_every_batch():
+    import pyarrow as pa
+
+    from sylvan.llm.near_dedup import _groups
+
+    rows = [(k // 3, k) for k in range(40)]
+    batches = [pa.RecordBatch.from_pydict({"g": [g for g, _ in rows[i : i + 4]], "v": [v for _, v in rows[i : i + 4]]}) for i in range(0, 40, 4)]
+    seen = []
+    for t, at in _groups(iter(batches), ["g"]):
+        for lo, hi in zip(at[:-1], at[1:]):
+            assert len(set(t.column("g").to_pylist()[lo:hi])) == 1
+        seen += t.column("v").to_pylist()
+    assert seen == list(range(40))

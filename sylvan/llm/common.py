@@ -71,11 +71,45 @@ def text_key(column: str = "text") -> Column:
     return F.xxhash64(text_of(column))
 
 
+SIEVE_WORDS = 1 << 18  # rows of the bit table of a sieve, of 64 bits each: what is broadcast, at any size
+
+
+def sieve(wanted: DataFrame, column: str) -> DataFrame:
+    """(sieve_word__, sieve_bits__): a bit table of a hash of a column, of at most SIEVE_WORDS rows.
+
+    It tells rows that may have one of the wanted values from rows that have
+    none, so that only the former are shuffled. The more values there are the
+    fuller it gets; full, it lets all rows through.
+    """
+    h = F.xxhash64(column)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
+    return wanted.select((h.bitwiseAND(F.lit(SIEVE_WORDS - 1))).cast("int").alias("sieve_word__"), bit.alias("b")).groupBy("sieve_word__").agg(F.bit_or("b").alias("sieve_bits__"))
+
+
+def sieved(rows: DataFrame, value: Column, bits: DataFrame, column: str) -> DataFrame:
+    """rows and, in ``column``, whether the value may be one that the sieve was made of."""
+    h = F.xxhash64(value)
+    marked = rows.withColumn("sieve_hash__", h).withColumn("sieve_at__", F.col("sieve_hash__").bitwiseAND(F.lit(SIEVE_WORDS - 1)).cast("int"))
+    # At most SIEVE_WORDS rows of two numbers: a proven bound.
+    x = marked.join(F.broadcast(bits), F.col("sieve_at__") == F.col("sieve_word__"), "left")
+    hit = F.call_function("shiftrightunsigned", F.coalesce("sieve_bits__", F.lit(0).cast("long")), F.shiftrightunsigned("sieve_hash__", 58).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return x.select(*rows.columns, hit.alias(column))
+
+
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of docs whose (doc_id, text_key) is not in ``dropped``: a shuffle join, at every size the same."""
+    """Rows of docs whose (doc_id, text_key) is not in ``dropped``, a written table.
+
+    Rows that a sieve of the dropped keys clears go straight out; the others
+    are decided by a shuffle join, at every size the same. A row is named by
+    its id and a 64-bit hash of its text: rows of one id whose unlike texts
+    agree in it would go together.
+    """
+    bits = sieve(dropped, "text_key")
+    x = sieved(docs.withColumn("text_key__", text_key()), F.col("text_key__"), bits, "maybe__")
     d = dropped.select(F.col("doc_id").alias("dropped_doc_id__"), F.col("text_key").alias("dropped_text_key__")).hint("merge")
-    on = docs["doc_id"].eqNullSafe(d["dropped_doc_id__"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == d["dropped_text_key__"])
-    return docs.join(d, on, "left_anti")
+    asked = x.where("maybe__")
+    on = asked["doc_id"].eqNullSafe(d["dropped_doc_id__"]) & (asked["text_key__"] == d["dropped_text_key__"])
+    return x.where("not maybe__").select(docs.columns).unionByName(asked.join(d, on, "left_anti").select(docs.columns))
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, text_key, text_of, without_rows
+from .common import Scratch, connected_components, sieve, sieved, text_key, text_of, without_rows
 from .words import gram_sets, mix
 
 NGRAM = 5
@@ -303,6 +303,8 @@ def near_dedup(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD
     )
     names = scratch.table(needed.select("rep").distinct().join(of_rep.select(F.col("uid").alias("rep"), "doc_id", "text_key", "size"), "rep"), "names")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), text_of().alias("t"))
+    # Only texts that may be among those named are shuffled.
+    text = sieved(text, F.col("text_key"), sieve(names, "text_key"), "maybe__").where("maybe__").drop("maybe__")
     # Named as a shuffle join so that the plan, and with it what moves, is the same at every size.
     texts = names.hint("merge").join(text, names["doc_id"].eqNullSafe(text["doc_id"]) & (names["text_key"] == text["text_key"])).select("rep", "size", "t")
     found = scratch.table(

@@ -203,3 +203,14 @@ def test_groups_keep_every_batch():
             assert len(set(t.column("g").to_pylist()[lo:hi])) == 1
         seen += t.column("v").to_pylist()
     assert seen == list(range(40))
+
+
+def test_a_sieve_clears_no_wanted_row(spark):
+    from sylvan.llm.common import sieve, sieved, without_rows
+
+    docs = spark.range(5000).selectExpr("id as doc_id", "concat('t', id % 700) as text", "1 as sieve_bits")
+    wanted = docs.where("doc_id % 9 = 0").selectExpr("doc_id", "xxhash64(text) as text_key")
+    x = sieved(docs.selectExpr("*", "xxhash64(text) as text_key"), F.col("text_key"), sieve(wanted, "text_key"), "m")
+    assert x.count() == 5000 and x.join(wanted, ["doc_id", "text_key"]).where("not m").isEmpty()
+    left = without_rows(docs, wanted)
+    assert left.columns == docs.columns and left.exceptAll(docs.where("doc_id % 9 <> 0")).isEmpty() and left.count() == docs.where("doc_id % 9 <> 0").count()

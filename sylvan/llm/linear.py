@@ -27,6 +27,14 @@ class Rows:
         start = np.concatenate(([0], np.cumsum(size)))
         return Rows(start, self.idx[np.repeat(self.start[rows] - start[:-1], size) + np.arange(start[-1])], self.width)
 
+    def only(self, features: list[int]) -> Rows:
+        """These features alone, numbered in the order given."""
+        slot = np.full(self.width, -1, np.int64)
+        slot[features] = np.arange(len(features))
+        now = slot[self.idx]
+        kept = np.concatenate(([0], np.cumsum(now >= 0)))
+        return Rows(kept[self.start], now[now >= 0], len(features))
+
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(z / 2))

@@ -56,17 +56,34 @@ def _counted(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _feature_counts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """For each fold, feature and level: rows that have it, and how many of them are in each category."""
     for batch in batches:
         labels = np.array(batch.column("labels").to_pylist(), float).reshape(-1, k)
+        folds = batch.column("fold").to_numpy()
         for i, _, data, at in chunks(batch.column("t").to_pylist()):
             owner, h, count = _counted(*text_features(data, at))
+            fold = folds[i + owner]
             for level in range(1, LEVELS + 1):
-                ok = count >= level
-                if not ok.any():
-                    continue
-                value, inverse, n = np.unique(h[ok], return_inverse=True, return_counts=True)
-                hits = [np.bincount(inverse, labels[i + owner[ok], c]).astype(np.int64) for c in range(k)]
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.full(len(value), level, np.int32)), pa.array(n.astype(np.int64)), *map(pa.array, hits)], ["h", "level", "n", *(f"c{c}" for c in range(k))])
+                for f in range(FOLDS):
+                    ok = (count >= level) & (fold == f)
+                    if not ok.any():
+                        continue
+                    value, inverse, n = np.unique(h[ok], return_inverse=True, return_counts=True)
+                    hits = [np.bincount(inverse, labels[i + owner[ok], c]).astype(np.int64) for c in range(k)]
+                    fixed = [np.full(len(value), x, np.int32) for x in (f, level)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, fixed), pa.array(value.view(np.int64)), pa.array(n.astype(np.int64)), *map(pa.array, hits)], ["fold", "level", "h", "n", *(f"c{c}" for c in range(k))])
+
+
+def _chosen(counts: DataFrame, size: list[int], features: int) -> list[tuple[int, int]]:
+    """(feature, level) with the largest chi-square statistics; counts: h, level, n, c0...; size: rows, and rows of each category."""
+    chi = F.lit(0.0)
+    for c, hits in enumerate(size[1:]):
+        p = hits / size[0] if size[0] else 0
+        if 0 < p < 1:
+            e = F.col("n") * p
+            chi = F.greatest(chi, (F.col(f"c{c}") - e) ** 2 / (e * (1 - p) * (1 - F.col("n") / (size[0] + 1))))
+    best = counts.where("n >= 3").select("h", "level", chi.alias("chi")).where("chi > 6").orderBy(F.desc("chi"), "h", "level").limit(features).collect()
+    return [(r["h"], r["level"]) for r in best]
 
 
 class Lookup:
@@ -142,11 +159,14 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | N
 
     ``categories``: name and SQL over the columns of labels, 0 or 1, in chain
     order. Rows with a null in any of them or no doc_id are left out; of
-    labels that repeat a doc_id the largest values count. At most
+    labels that repeat a doc_id the largest values count, of documents that
+    repeat one the text that comes first in order. At most
     ``max_train_rows`` rows are used, half of them from rows with a category
     set, chosen by a hash of doc_id and weighted back to their share; the
     features are the ``features`` with the largest chi-square statistic in
-    that sample. Without labelled rows every probability is 0.5.
+    that sample, and for a fold's models in the sample without the fold, so
+    an out-of-fold probability has seen nothing of its row's label. Without
+    labelled rows every probability is 0.5.
     """
     categories = categories or CATEGORIES
     names = list(categories)
@@ -163,21 +183,26 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | N
     chosen = scratch.table(chosen[0].unionByName(chosen[1]), "chosen")
     # At most max_train_rows rows of numbers: small enough to broadcast, and to fit on the driver.
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
-    sample = scratch.table(text.join(F.broadcast(chosen), "doc_id"), "sample").dropDuplicates(["doc_id"])
+    found = scratch.table(text.join(F.broadcast(chosen), "doc_id"), "found")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("t", "labels", "hit")).alias("r"))
+    sample = scratch.table(one.select("doc_id", "r.*", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")), "sample")
     k = len(names)
-    counts = sample.select("t", "labels").mapInArrow(lambda it: _feature_counts(it, k), "h long, level int, n long, " + ", ".join(f"c{c} long" for c in range(k)))
-    counts = counts.groupBy("h", "level").agg(F.sum("n").alias("n"), *(F.sum(f"c{c}").alias(f"c{c}") for c in range(k))).where("n >= 3")
-    size = sample.agg(F.count("*").alias("n"), *(F.sum(F.col("labels")[c]).alias(f"c{c}") for c in range(k))).first()
-    if not size["n"]:
+    sums = [F.count("*").alias("n"), *(F.sum(F.col("labels")[c]).alias(f"c{c}") for c in range(k))]
+    rows_of = {r["fold"]: [r["n"], *(int(r[f"c{c}"]) for c in range(k))] for r in sample.groupBy("fold").agg(*sums).collect()}
+    size = [sum(v) for v in zip(*rows_of.values(), strict=True)]
+    if not size:
         return Chain(names, np.zeros(0, np.uint64), np.zeros(0, np.int64), [np.zeros(1 + c) for c in range(k)], np.zeros((0, k)))
-    chi = F.lit(0.0)
-    for c in range(k):
-        p = (size[f"c{c}"] or 0) / size["n"]
-        if 0 < p < 1:
-            e = F.col("n") * p
-            chi = F.greatest(chi, (F.col(f"c{c}") - e) ** 2 / (e * (1 - p) * (1 - F.col("n") / (size["n"] + 1))))
-    best = counts.select("h", "level", chi.alias("chi")).where("chi > 6").orderBy(F.desc("chi"), "h", "level").limit(features).collect()
-    known, levels = np.array([r["h"] for r in best], np.int64).view(np.uint64), np.array([r["level"] for r in best], np.int64)
+    columns = ["n", *(f"c{c}" for c in range(k))]
+    counts = sample.select("t", "labels", "fold").mapInArrow(lambda it: _feature_counts(it, k), "fold int, level int, h long, " + ", ".join(f"{c} long" for c in columns))
+    # One row a feature: its counts in all rows, and in each fold.
+    split = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}_{f}") for c in columns for f in range(FOLDS)]
+    counts = scratch.table(counts.groupBy("h", "level").agg(*(F.sum(c).alias(c) for c in columns), *split).where("n >= 3"), "counts")
+    views = {None: _chosen(counts, size, features)}
+    for f in sorted(rows_of) if len(rows_of) > 1 else ():
+        views[f] = _chosen(counts.select("h", "level", *((F.col(c) - F.col(f"{c}_{f}")).alias(c) for c in columns)), [a - b for a, b in zip(size, rows_of[f], strict=True)], features)
+    every = sorted(set().union(*map(set, views.values())))
+    number = {x: i for i, x in enumerate(every)}
+    known, levels = np.array([h for h, _ in every], np.int64).view(np.uint64), np.array([x for _, x in every], np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(known, levels)
@@ -186,26 +211,31 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | N
             for _, _, data, at in chunks(batch.column("t").to_pylist()):
                 x = look.rows(data, at)
                 rows += [x.idx[a:b] for a, b in zip(x.start[:-1], x.start[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hit"), batch.column("labels"), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "hit", "labels", "idx"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "hit", "labels", "fold")), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "hit", "labels", "fold", "idx"])
 
-    got = sample.select("doc_id", "hit", "labels", "t").mapInArrow(encode, "doc_id long, hit boolean, labels array<double>, idx array<long>").toArrow().sort_by("doc_id")
+    got = sample.select("doc_id", "hit", "labels", "fold", "t").mapInArrow(encode, "doc_id long, hit boolean, labels array<double>, fold int, idx array<long>").toArrow().sort_by("doc_id")
     sizes = np.array([len(v) for v in got.column("idx").to_pylist()], np.int64)
     x = Rows(np.concatenate(([0], np.cumsum(sizes))), np.array([i for v in got.column("idx").to_pylist() for i in v], np.int64), len(known))
     labelled = np.array(got.column("labels").to_pylist(), float)
     hit = np.array(got.column("hit").to_pylist(), bool)
     weight = np.where(hit, share.get(True, 0) / max(1, take[True]), share.get(False, 0) / max(1, take[False]))
     weight *= len(weight) / weight.sum()
-    fold = np.arange(len(weight)) % FOLDS
-    chain, p = Chain(names, known, levels), np.zeros((len(weight), 0))
+    fold = got.column("fold").to_numpy()
+    seen = {f: x.only([number[v] for v in view]) for f, view in views.items()}
+    whole = seen[None]
+    best = [every[number[v]] for v in views[None]]
+    chain = Chain(names, np.array([h for h, _ in best], np.int64).view(np.uint64), np.array([v for _, v in best], np.int64))
+    p = np.zeros((len(weight), 0))
     for c in range(k):
         own = np.zeros(len(weight))
-        for f in range(FOLDS):
+        for f in rows_of:
             rest, part = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            if not len(rest):
+            if not len(rest):  # all rows in one fold
                 rest = part
-            w = fit(x.take(rest), p[rest], labelled[rest, c], weight[rest])
-            own[part] = sigmoid(x.take(part).dot(w[: x.width]) + p[part] @ w[x.width : -1] + w[-1])
-        chain.weights.append(fit(x, p, labelled[:, c], weight))
+            xs = seen.get(f, whole)
+            w = fit(xs.take(rest), p[rest], labelled[rest, c], weight[rest])
+            own[part] = sigmoid(xs.take(part).dot(w[: xs.width]) + p[part] @ w[xs.width : -1] + w[-1])
+        chain.weights.append(fit(whole, p, labelled[:, c], weight))
         p = np.column_stack((p, own))
     chain.out_of_fold = p
     return chain

@@ -68,7 +68,55 @@ def test_later_models_use_earlier_out_of_fold_predictions(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0), int(i % 8 == 0)) for i in range(400)], "doc_id long, a int, b int")
     chain = fit_chain(docs, labels, {"a": "a", "b": "b"}, max_train_rows=300)
-    assert len(chain.out_of_fold) == 300 and [len(w) for w in chain.weights] == [len(chain.known) + 1, len(chain.known) + 2]
+    assert len(chain.out_of_fold) == 300 and 0 < len(chain.known) <= 2048 and [len(w) for w in chain.weights] == [len(chain.known) + 1, len(chain.known) + 2]
     assert chain.weights[1][-2] > 0.1  # b needs a
     assert ((chain.out_of_fold[:, 0] > 0.5).mean() - 75 / 300) < 0.35
     assert isinstance(chain, Chain) and chain.score(["odd w1 w2", "w1 w2"])[:, 0].tolist()[0] > 0.5
+
+
+def test_out_of_fold_probabilities_have_not_seen_their_labels(spark):
+    """Words that occur in one document alone, or in a few, and labels that are chance: nothing can be learnt."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(30))) for i in range(600)]
+    labels = [(i, rng.randrange(2), 1) for i in range(600)]
+    chain = fit_chain(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int, quality int"), {"toxic": "toxic"})
+    y = np.array([t for _, t, _ in labels])
+    assert abs(((chain.out_of_fold[:, 0] > 0.5) == y).mean() - 0.5) < 0.08
+
+
+def test_of_repeated_ids_the_first_text_counts(spark):
+    rows = [(i, ("vile " if i % 2 else "calm ") * 5) for i in range(80)] + [(i, "a " + ("calm " if i % 2 else "vile ") * 5) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(80)], "doc_id long, toxic int, quality int")
+    for part in (rows, rows[::-1]):  # "a ..." is first: there the words stand for the other class
+        chain = fit_chain(spark.createDataFrame(part, "doc_id long, text string"), labels)
+        p = chain.score(["vile vile", "calm calm"])[:, chain.categories.index("toxic")]
+        assert p[0] < 0.5 < p[1]
+
+
+def plain_scores(chain, texts):
+    """The chain by loops over words."""
+    from sylvan.llm.toxicity import PREFIXES, text_features
+
+    out = []
+    for t in texts:
+        found = {}
+        for _, _, data, at in chunks([t]):
+            for h in text_features(data, at)[1].tolist():
+                found[h] = found.get(h, 0) + 1
+        p = []
+        for w in chain.weights:
+            z = w[-1] + sum(w[i] for i, (h, v) in enumerate(zip(chain.known.tolist(), chain.levels.tolist())) if found.get(h, 0) >= v) + sum(a * b for a, b in zip(p, w[len(chain.known) : -1]))
+            p.append(1 / (1 + np.exp(-z)))
+        out.append(p)
+    return np.array(out)
+
+
+def test_query_against_loops(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    chain = fit_chain(docs, labels)
+    got = {r.doc_id: r for r in toxicity(docs, labels).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    want = plain_scores(chain, [r.text or "" for r in rows])
+    assert len(got) == len(rows) == docs.count()
+    for r, p in zip(rows, want):
+        assert np.allclose([got[r.doc_id][f"p_{c}"] for c in chain.categories], p) and got[r.doc_id].toxic == (got[r.doc_id].p_toxic >= 0.5)

@@ -225,9 +225,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
             x = [features(t) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    # At most max_train_rows pairs of numbers are broadcast, and as many rows of features come to the driver.
+    # At most max_train_rows pairs of numbers are broadcast, and, repeated ids put together, as many rows of features come to the driver.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t")).join(F.broadcast(chosen), "doc_id")
-    got = rows.select("doc_id", "y", "t").mapInArrow(measure, "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id")
+    measured = rows.select("doc_id", "y", "t").mapInArrow(measure, "doc_id long, y int, x array<double>")
+    got = measured.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x")).toArrow().sort_by("doc_id")
     if not len(got):
         return AdditiveModel()
     return fit_model(np.array(got.column("x").to_pylist(), float), got.column("y").to_numpy().astype(float))
@@ -238,7 +239,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **option
 
     Scores depend on the text alone. Null texts are empty and get the score of
     one. Labels with a null are left out; of labels that repeat a doc_id the
-    largest counts; without labels every score is 0.5. Repeated rows and null
+    largest counts, of documents that repeat a labelled one the row whose
+    features come first in order; without labels every score is 0.5. Very
+    long texts are read whole. Repeated rows and null
     ids are scored like any other; other columns are ignored.
     """
     model = train(docs, labels, **options)

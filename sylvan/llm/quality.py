@@ -25,8 +25,8 @@ MAX_TRAIN_ROWS = 20_000  # bound of the labelled sample
 BINS, PAIR_BINS, PAIRS = 32, 8, 12
 ROUNDS, PAIR_ROUNDS, RATE, PATIENCE = 250, 80, 0.1, 20
 NAMES = (
-    "log_chars", "log_words", "word_length", "longest_word", "upper", "digit", "punctuation", "high_byte", "exclamation", "pipe",
-    "space", "distinct_words", "repeat_of_last", "top_word", "distinct_pairs", "top_pair", "log_lines", "repeated_lines", "line_length",
+    "log_chars", "log_words", "word_length", "longest_word", "upper", "digit", "punctuation", "high_byte",
+    "space", "distinct_words", "top_word", "distinct_pairs", "top_pair", "log_lines", "repeated_lines", "line_length",
     "short_words", "byte_entropy", "marked_words", "stop_marks",
 )
 _UPPER, _DIGIT = slice(65, 91), slice(48, 58)
@@ -46,7 +46,7 @@ def features(text: str) -> list[float]:
     start, end = spans(data)
     w = len(start)
     if not w:
-        return [np.log1p(n), *[0.0] * 9, 1.0, *[0.0] * (len(NAMES) - 11)]
+        return [np.log1p(n), *[0.0] * 7, 1.0, *[0.0] * (len(NAMES) - 9)]
     size = end - start
     h = hashes(data, start, end)
     _, count = np.unique(h, return_counts=True)
@@ -57,8 +57,8 @@ def features(text: str) -> list[float]:
     last = data[end - 1]
     return [
         np.log1p(n), np.log1p(w), size.mean(), np.log1p(size.max()), seen[_UPPER].sum() / n, seen[_DIGIT].sum() / n,
-        seen[_MARKS].sum() / n, seen[128:].sum() / n, seen[33] / n, seen[124] / n, 1 - size.sum() / n, len(count) / w,
-        (h[1:] == h[:-1]).mean() if w > 1 else 0.0, count.max() / w, len(pairs) / len(pair), pairs.max() / len(pair),
+        seen[_MARKS].sum() / n, seen[128:].sum() / n, 1 - size.sum() / n, len(count) / w,
+        count.max() / w, len(pairs) / len(pair), pairs.max() / len(pair),
         np.log1p(len(lines)), 1 - len(set(lines)) / max(1, len(lines)), n / max(1, len(lines)), (size <= 3).mean(),
         -(share * np.log2(share)).sum(), (_IS_MARK[last] & ~_FULL_STOP[last]).mean(), _FULL_STOP[last].mean(),
     ]

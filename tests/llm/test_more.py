@@ -1,9 +1,12 @@
 """Quality, secrets, chats, archives and token counts."""
 
+import math
 import random
 import re
+import string
 import time
 from base64 import b32encode
+from collections import Counter
 from hashlib import sha1, sha256
 from zlib import crc32
 
@@ -64,6 +67,138 @@ def test_quality_of_odd_rows(spark):
     assert {r.score for r in quality.quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def plain_features(text):
+    """The features by Python's own means."""
+    data = text.encode()
+    n, ws = len(data), data.split()
+    if not n:
+        return [0.0] * len(quality.NAMES)
+    space = sum(b in b" \t\n\v\f\r" for b in data)
+    if not ws:
+        return [math.log1p(n), *[0.0] * 7, 1.0, *[0.0] * (len(quality.NAMES) - 9)]
+    lines = [x for x in text.split("\n") if x]
+    pairs = list(zip(ws, ws[1:])) or [ws[0]]
+    marks = set(string.punctuation.encode())
+    share = lambda ok: sum(map(ok, data)) / n
+    return [
+        math.log1p(n), math.log1p(len(ws)), sum(map(len, ws)) / len(ws), math.log1p(max(map(len, ws))),
+        share(lambda b: 65 <= b < 91), share(lambda b: 48 <= b < 58), share(lambda b: b in marks), share(lambda b: b > 127), space / n,
+        len(set(ws)) / len(ws), max(Counter(ws).values()) / len(ws), len(set(pairs)) / len(pairs), max(Counter(pairs).values()) / len(pairs),
+        math.log1p(len(lines)), 1 - len(set(lines)) / max(1, len(lines)), n / max(1, len(lines)), sum(len(w) <= 3 for w in ws) / len(ws),
+        -sum(c / n * math.log2(c / n) for c in Counter(data).values()),
+        sum(w[-1] in marks and w[-1] not in b".,;:!?" for w in ws) / len(ws), sum(w[-1] in b".,;:!?" for w in ws) / len(ws),
+    ]
+
+
+def plain_boost(x, y, test, rounds, rate, z, tables, turns):
+    """Boosting by loops: ``turns`` gives, for each table, (cell of each row, best step for (gradient, curvature) by cell)."""
+    loss = lambda: float(np.mean([math.log1p(math.exp(-abs(z[r]))) + max(z[r], 0) - y[r] * z[r] for r in test]))
+    start, best, kept, since = list(z), loss(), [dict(t) for t in tables], 0
+    for _ in range(rounds):
+        for t, (cell, step_of) in zip(tables, turns):
+            g, h = {}, {}
+            for r in range(len(y)):
+                if r not in test:
+                    q = 1 / (1 + math.exp(-z[r]))
+                    g[cell[r]] = g.get(cell[r], 0) + q - y[r]
+                    h[cell[r]] = h.get(cell[r], 0) + q * (1 - q)
+            step = step_of(g, h)
+            for c, v in step.items():
+                t[c] = t.get(c, 0) + rate * v
+            for r in range(len(y)):
+                z[r] += rate * step.get(cell[r], 0)
+        now = loss()
+        if now < best - 1e-6:
+            best, kept, since = now, [dict(t) for t in tables], 0
+        else:
+            since += 1
+            if since >= quality.PATIENCE:
+                break
+    for t, old in zip(tables, kept):
+        t.clear()
+        t.update(old)
+    for r in range(len(y)):
+        z[r] = start[r] + sum(t.get(cell[r], 0) for t, (cell, _) in zip(tables, turns))
+
+
+def test_quality_query_against_a_fit_by_loops(spark, monkeypatch):
+    """Every tree is found by trying all cuts, every row by a loop; the query's scores must be these."""
+    monkeypatch.setattr(quality, "ROUNDS", 3)
+    monkeypatch.setattr(quality, "PAIR_ROUNDS", 2)
+    monkeypatch.setattr(quality, "PAIRS", 2)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r.score for r in quality.quality(docs, labels).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    train = sorted((r.doc_id, r.quality) for r in labels.collect() if r.doc_id in texts and r.quality is not None and crc32(str(r.doc_id).encode()) % 5)
+    x = np.array([plain_features(texts[d]) for d, _ in train])
+    y = [q for _, q in train]
+    assert np.allclose(x, [quality.features(texts[d]) for d, _ in train]) and len(set(y)) == 2
+    n, k = x.shape
+    p = (sum(y) + 0.5) / (n + 1)
+    base = math.log(p / (1 - p))
+    z, test = [base] * n, set(range(5, n, 6))
+    cuts, pair_cuts = ([sorted(set(np.quantile(c, np.arange(1, b) / b))) for c in x.T] for b in (quality.BINS, quality.PAIR_BINS))
+    bin_of = lambda v, c: sum(v >= a for a in c)
+    part = lambda cells, g, h: -sum(g.get(c, 0) for c in cells) / (sum(h.get(c, 0) for c in cells) + 1)
+    worth = lambda cells, g, h: sum(g.get(c, 0) for c in cells) ** 2 / (sum(h.get(c, 0) for c in cells) + 1)
+
+    def tree(size):
+        def step(g, h):
+            leaves = [list(range(size))]
+            while len(leaves) < 4:
+                best = (1e-9, None, None)
+                for i, leaf in enumerate(leaves):
+                    for at in range(1, len(leaf)):
+                        a, b = leaf[:at], leaf[at:]
+                        if min(sum(h.get(c, 0) for c in s) for s in (a, b)) >= 2:
+                            gain = worth(a, g, h) + worth(b, g, h) - worth(leaf, g, h)
+                            if gain > best[0] + 1e-12:
+                                best = (gain, i, at)
+                if best[1] is None:
+                    break
+                _, i, at = best
+                leaves[i : i + 1] = [leaves[i][:at], leaves[i][at:]]
+            return {c: part(leaf, g, h) for leaf in leaves for c in leaf}
+
+        return step
+
+    def cross(rows, cols):
+        def quadrants(i, j):
+            return [[(a, b) for a in ra for b in rb] for ra in (range(i + 1), range(i + 1, rows)) for rb in (range(j + 1), range(j + 1, cols))]
+
+        def best(g, h):
+            return max(((sum(worth(q, g, h) for q in quadrants(i, j)), -i, -j) for i in range(rows - 1) for j in range(cols - 1)))
+
+        def step(g, h):
+            _, i, j = best(g, h)
+            return {c: part(q, g, h) for q in quadrants(-i, -j) for c in q}
+
+        return step, lambda g, h: best(g, h)[0] - worth([(a, b) for a in range(rows) for b in range(cols)], g, h)
+
+    tables = [{} for _ in range(k)]
+    plain_boost(x, y, test, 3, quality.RATE, z, tables, [([bin_of(v, cuts[j]) for v in x[:, j]], tree(len(cuts[j]) + 1)) for j in range(k)])
+    gains = []
+    for i in range(k):
+        for j in range(i):
+            if pair_cuts[i] and pair_cuts[j]:
+                cell = [(bin_of(a, pair_cuts[i]), bin_of(b, pair_cuts[j])) for a, b in zip(x[:, i], x[:, j])]
+                g, h = {}, {}
+                for r in set(range(n)) - test:
+                    q = 1 / (1 + math.exp(-z[r]))
+                    g[cell[r]] = g.get(cell[r], 0) + q - y[r]
+                    h[cell[r]] = h.get(cell[r], 0) + q * (1 - q)
+                step, gain = cross(len(pair_cuts[i]) + 1, len(pair_cuts[j]) + 1)
+                gains.append((-round(gain(g, h), 9), i, j, cell, step))
+    gains = sorted(gains, key=lambda t: t[:3])[:2]
+    crossed = [{} for _ in gains]
+    plain_boost(x, y, test, 2, quality.RATE, z, crossed, [(cell, step) for _, _, _, cell, step in gains])
+    assert len(got) == docs.count()
+    for d, t in texts.items():
+        f = plain_features(t)
+        s = base + sum(t.get(bin_of(f[j], cuts[j]), 0) for j, t in enumerate(tables)) + sum(t.get((bin_of(f[i], pair_cuts[i]), bin_of(f[j], pair_cuts[j])), 0) for t, (_, i, j, _, _) in zip(crossed, gains))
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-s)), abs=1e-6), d
+
+
 # Secrets
 
 

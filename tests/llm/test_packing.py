@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from sylvan.llm.packing import CAPACITIES, best_fit_packing, cost, pack
+from sylvan.llm.packing import CAPACITIES, best_fit_packing, cost, pack, packed_sequences
+from sylvan.llm.tokens import encode, token_counts
 
 
 def plain(lengths, caps, choose):
@@ -64,14 +66,40 @@ def check(rows, docs):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
-def test_every_token_once(spark):
+def texts():
     rng = random.Random(3)
     rows = [(i, " ".join("w" * rng.randrange(1, 9) for _ in range(int(rng.paretovariate(1)) * 20))) for i in range(700)]
-    rows += [(1000, None), (1001, ""), (1002, " \n"), (1003, "x " * 20000), (5, rows[5][1]), (None, "a b"), (1004, "x " * 4095)]
+    return [*rows, (1000, None), (1001, ""), (1002, " \n"), (1003, "x " * 20000), (5, rows[5][1]), (None, "a b"), (1004, "x " * 4095)]
+
+
+def test_every_token_once(spark):
+    rows = texts()
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, capacity int")
-    want = [(i, len((t or "").split()) + 1) for i, t in rows]
-    for shard_rows in (20_000, 100):
-        packed = best_fit_packing(docs, shard_rows=shard_rows).collect()
+    want = [(i, len(encode(t or "")) + 1) for i, t in rows]
+    for shard_pieces in (20_000, 100):
+        packed = best_fit_packing(docs, shard_pieces=shard_pieces).collect()
         check(packed, want)
     assert sum(r.n_tokens for r in packed) > 0.9 * sum({r.bin_id: r.capacity for r in best_fit_packing(docs).collect()}.values())
+    words = F.size(F.split(F.coalesce("text", F.lit("")), " "))
+    check(best_fit_packing(docs, length=words).collect(), [(i, len((t or "").split(" "))) for i, t in rows])
     assert best_fit_packing(docs.limit(0)).count() == 0
+
+
+def test_sequences_hold_the_encoded_texts(spark):
+    rows = texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    end = 50256
+    got = packed_sequences(docs, end, shard_pieces=100).collect()
+    assert all(len(r.tokens) <= r.capacity and r.starts[0] == 0 for r in got)
+    # As many tokens as the token counts say, and an end mark a row.
+    assert sum(len(r.tokens) for r in got) == token_counts(docs).first().tokens_total + len(rows)
+    pieces = {}
+    for r in got:
+        for d, a, b in zip(r.doc_ids, r.starts, [*r.starts[1:], len(r.tokens)]):
+            pieces.setdefault(d, []).append(tuple(r.tokens[a:b]))
+    want = {}
+    for d, t in rows:
+        ids = (*encode(t or ""), end)
+        want.setdefault(d, []).extend(ids[k : k + 4096] for k in range(0, len(ids), 4096))
+    assert {d: sorted(p) for d, p in pieces.items()} == {d: sorted(p) for d, p in want.items()}
+    assert packed_sequences(docs.limit(0), end).count() == 0

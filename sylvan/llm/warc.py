@@ -16,7 +16,6 @@ from hashlib import sha1
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, text_of
@@ -105,21 +104,28 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, segment: i
 
     Of rows with equal payloads of at least ``least_bytes`` bytes, the one
     with the smallest page_id (null only where no other is; of repeated rows
-    one) is the response that the others revisit. Null html is an empty payload.
+    that with the first url, or one of those) is the response that the others
+    revisit. Payloads are equal when their SHA-256 digests are. Null html is an
+    empty payload; very long ones are written whole, in segments. Other
+    columns are ignored.
     """
     scratch = scratch or Scratch(pages.sparkSession, "warc")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").cast("binary").alias("body"))
-    rows = rows.withColumn("sha", F.sha1("body"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), text_of("html").cast("binary").alias("body"))
+    rows = rows.withColumn("sha", F.sha2("body", 256))
     named = scratch.table(rows.where(F.octet_length("body") >= least_bytes).groupBy("sha", "page_id").agg(F.count("*").alias("n")), "digests")
     first = named.groupBy("sha").agg(F.sum("n").alias("copies"), F.max("n").alias("most"), F.min("page_id").alias("first_id")).where("copies > 1")
     first = scratch.table(first.withColumnRenamed("sha", "first_sha"), "first")
     rows = rows.join(first, (rows["sha"] == first["first_sha"]) & (F.octet_length("body") >= least_bytes), "left")
-    rows = rows.withColumn("revisit", F.col("first_sha").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
-    if not first.where("most > 1").isEmpty():
-        # Rows that repeat page and payload: of those that could be the response one is taken.
-        could = F.col("first_sha").isNotNull() & ~F.col("revisit")
-        one = rows.where(could).withColumn("revisit", F.row_number().over(W.partitionBy("sha").orderBy("url")) > 1)
-        rows = rows.where(~could).unionByName(one)
+    could = F.col("first_sha").isNotNull() & F.col("page_id").eqNullSafe(F.col("first_id"))
+    rows = rows.withColumn("revisit", F.col("first_sha").isNotNull() & ~could)
+    # Rows that repeat page and payload: those alike are counted, one is the response, and the others are told out again.
+    again = could & F.coalesce(F.col("most") > 1, F.lit(False))
+    alike = rows.where(again).groupBy("sha", "url", "page_id", "first_sha", "most", "copies", "first_id").agg(F.first("body").alias("body"), F.count("*").alias("times"))
+    alike = scratch.table(alike, "alike")
+    least = alike.groupBy(F.col("sha").alias("least_sha")).agg(F.min("url").alias("least_url"))
+    told = alike.join(least, F.col("sha") == F.col("least_sha")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    told = told.withColumn("revisit", (F.col("url") != F.col("least_url")) | (F.col("copy") > 1))
+    rows = rows.where(~again).unionByName(told.select(rows.columns))
     rows = rows.withColumn("uid", F.monotonically_increasing_id())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,12 +148,12 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, segment: i
     archive.select(F.col("record").cast("string")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-PART = "origin string, segment int, total long, kind string, page_id long, said_digest string, said_bytes long, refers_to long, has_id boolean, block binary"
+PART = "origin string, segment int, total long, kind string, page_id long, said_digest string, said_bytes long, refers_to long, block binary"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in PART.split(", ")]
-    types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -160,7 +166,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, size = [], 0
             for f, block in records(data.as_py()):
                 refers = f.get("warc-refers-to", "").strip("<>").split(":")
-                rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), number(f.get("warc-segment-number")), number(f.get("warc-segment-total-length")), f["warc-type"], number(f.get("x-page-id")), f.get("warc-payload-digest"), number(f.get("x-payload-length")), number(refers[2]) if len(refers) > 2 else None, "x-page-id" in f, block))
+                rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), number(f.get("warc-segment-number")), number(f.get("warc-segment-total-length")), f["warc-type"], number(f.get("x-page-id")), f.get("warc-payload-digest"), number(f.get("x-payload-length")), number(refers[2]) if len(refers) > 2 else None, block))
                 if (size := size + len(block)) > 4_000_000:
                     yield packed(rows)
                     rows, size = [], 0

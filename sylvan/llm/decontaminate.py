@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -249,14 +250,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, thr
     items = items_of(benchmark, scratch)
     rows = docs.select("doc_id", text_of().alias("t"))
     asked = scratch.table(rows.where(_opens(gate_of(items, ngram, threshold))("t")), "asked")
-    out = None
-    for index in item_blocks(items, block, ngram):
-        found = asked.select("doc_id", F.explode(_find(index, threshold)("t")).alias("h")).select("doc_id", "h.*", F.lit(True).alias("contaminated"))
-        found = scratch.table(found, "found")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = asked.select("doc_id", F.explode(F.array().cast(HIT)).alias("h")).select("doc_id", "h.*", F.lit(True).alias("contaminated"))
-    return out
+    named = lambda hits: asked.select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.*", F.lit(True).alias("contaminated"))
+    found = [scratch.table(named(_find(index, threshold)("t")), "found") for index in item_blocks(items, block, ngram)]
+    found = found or [scratch.table(named(F.array().cast(HIT)), "found")]
+    scratch.keep(*found)
+    return reduce(DataFrame.unionByName, found)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD, block: int = ITEM_BLOCK) -> DataFrame:
@@ -267,4 +265,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM,
     asked = scratch.table(docs.where(opens), "asked")
     for index in item_blocks(items, block, ngram):
         asked = scratch.table(asked.withColumn("hits__", _find(index, threshold)(text_of())).where(F.size("hits__") == 0).drop("hits__"), "clean")
+    scratch.keep(asked)
     return docs.where(~opens).unionByName(asked)

@@ -229,6 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t")).join(F.broadcast(chosen), "doc_id")
     measured = rows.select("doc_id", "y", "t").mapInArrow(measure, "doc_id long, y int, x array<double>")
     got = measured.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x")).toArrow().sort_by("doc_id")
+    scratch.keep()
     if not len(got):
         return AdditiveModel()
     return fit_model(np.array(got.column("x").to_pylist(), float), got.column("y").to_numpy().astype(float))

@@ -127,6 +127,7 @@ class Chain:
     levels: np.ndarray
     weights: list[np.ndarray] = field(default_factory=list)
     out_of_fold: np.ndarray | None = None
+    fitted: bool = True
 
     def probabilities(self, x: Rows) -> np.ndarray:
         n = len(x.start) - 1
@@ -191,7 +192,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | N
     rows_of = {r["fold"]: [r["n"], *(int(r[f"c{c}"]) for c in range(k))] for r in sample.groupBy("fold").agg(*sums).collect()}
     size = [sum(v) for v in zip(*rows_of.values(), strict=True)]
     if not size:
-        return Chain(names, np.zeros(0, np.uint64), np.zeros(0, np.int64), [np.zeros(1 + c) for c in range(k)], np.zeros((0, k)))
+        return Chain(names, np.zeros(0, np.uint64), np.zeros(0, np.int64), [np.zeros(1 + c) for c in range(k)], np.zeros((0, k)), False)
     columns = ["n", *(f"c{c}" for c in range(k))]
     counts = sample.select("t", "labels", "fold").mapInArrow(lambda it: _feature_counts(it, k), "fold int, level int, h long, " + ", ".join(f"{c} long" for c in columns))
     # One row a feature: its counts in all rows, and in each fold.
@@ -238,6 +239,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | N
         chain.weights.append(fit(whole, p, labelled[:, c], weight))
         p = np.column_stack((p, own))
     chain.out_of_fold = p
+    scratch.keep()
     return chain
 
 
@@ -245,15 +247,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
     """Per row of docs: doc_id, p_<category> for each category, toxic (p_toxic >= threshold).
 
     Null texts are empty; a text without known features gets the intercepts'
-    probabilities. Whole texts are read. Repeated rows and null ids are scored
+    probabilities. Without labelled rows nothing is toxic. Whole texts are read. Repeated rows and null ids are scored
     like any other; other columns are ignored; no rows give no rows.
     """
     chain = fit_chain(docs, labels, **options)
     scored = docs.select(F.col("doc_id"), chain.column(text_of()).alias("p"))
-    return scored.select("doc_id", *(F.col(f"p.{c}").alias(f"p_{c}") for c in chain.categories), (F.col("p.toxic") >= threshold).alias("toxic"))
+    return scored.select("doc_id", *(F.col(f"p.{c}").alias(f"p_{c}") for c in chain.categories), ((F.col("p.toxic") >= threshold) & F.lit(chain.fitted)).alias("toxic"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """docs without the rows that the chain calls toxic; all columns stay as they are."""
     chain = fit_chain(docs, labels, **options)
+    if not chain.fitted:
+        return docs
     return docs.withColumn("toxicity__", chain.column(text_of())).where(F.col("toxicity__.toxic") < threshold).drop("toxicity__")

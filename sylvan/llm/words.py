@@ -75,18 +75,6 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(values, np.cumsum(length) - length) + length.astype(np.uint64))
 
 
-def prefix_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the first ``size`` bytes of each word that is longer; 0 for the others."""
-    out = np.zeros(len(start), np.uint64)
-    long = np.flatnonzero(end - start > size)
-    if len(long):
-        total = np.full(len(long), size, np.uint64) << np.uint64(32)
-        for k in range(size):
-            total = total + TABLE[data[start[long] + k]] * powers(size)[k]
-        out[long] = mix(total)
-    return out
-
-
 def grams(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """n-gram hashes of each text's words, and where each text's n-grams start (one entry more than texts).
 

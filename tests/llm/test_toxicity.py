@@ -59,7 +59,8 @@ def test_odd_rows(spark):
     kept = drop_toxic(docs, labels)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted([i for i in range(90) if i % 3] + [500, 501])
     assert toxicity(docs.limit(0), labels).count() == 0
-    assert {r.p_toxic for r in toxicity(docs, labels.limit(0)).collect()} == {0.5}
+    assert {(r.p_toxic, r.toxic) for r in toxicity(docs, labels.limit(0)).collect()} == {(0.5, False)}
+    assert drop_toxic(docs, labels.limit(0)).count() == docs.count()
 
 
 def test_later_models_use_earlier_out_of_fold_predictions(spark):

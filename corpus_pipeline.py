@@ -33,7 +33,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in which sequence."""
+    """Where each piece of each document, encoded, lies in which sequence."""
     return best_fit_packing(docs)
 
 
@@ -44,7 +44,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents: the rows of the last, one for each piece of each document kept.
+
+    Null texts are empty in every stage; empty texts are equal, so one of them
+    is kept. Repeated rows count as copies. Stages keep all columns, clashing
+    names too, until the last. An empty table gives no rows; without labels
+    nothing is toxic, without benchmark items nothing contaminated. A stage's table goes when the next one's is whole.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:

@@ -23,3 +23,4 @@ class OverrideNotAllowed(ForestError): ...
 class DeletingNonEmptyTree(ForestError): ...
 class ClearingTreeWithSubtreesNotAllowed(ForestError): ...
 class StopHeightTooLarge(ForestError): ...
+class TransactionConflict(ForestError): ...

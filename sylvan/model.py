@@ -124,12 +124,18 @@ def is_tree(column: str = "element_type") -> Column:
     return is_kind(*TREES, column=column)
 
 
-def contribution(parent_type: Column) -> tuple[Column, Column, Column]:
-    """(sum, big sum, count) that an element gives to the tree of the given type that holds it."""
+def contributions() -> tuple[Column, Column, Column]:
+    """(sum, big sum, count) of an element, as the trees that take account of them see it."""
     t = F.col("element_type")
     value = F.when(t.isin(SUM_ITEM, ITEM_WITH_SUM, *SUMMING), F.coalesce("sum_value", F.lit(0))).otherwise(F.lit(0).cast("bigint"))
     big = F.when(t == BIG_SUM_TREE, F.coalesce("big_sum_value", F.lit(0).cast("decimal(38,0)"))).otherwise(value.cast("decimal(38,0)"))
     n = F.when(t.isin(*COUNTING), F.coalesce("count_value", F.lit(0))).otherwise(F.lit(1).cast("bigint"))
+    return value, big, n
+
+
+def contribution(parent_type: Column) -> tuple[Column, Column, Column]:
+    """(sum, big sum, count) that an element gives to the tree of the given type that holds it."""
+    value, big, n = contributions()
     return (
         F.when(parent_type.isin(*SUMMING), value),
         F.when(parent_type == BIG_SUM_TREE, big),

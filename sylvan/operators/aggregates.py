@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import Overflow, WrongElementType
-from ..model import BIG_SUM_TREE, COUNTING, ELEMENT_COLUMNS, ITEM_WITH_SUM, KEYED_TREES, SUM_ITEM, SUMMING, any_of, contribution, tree_id
+from ..model import BIG_SUM_TREE, COLUMNS, COUNTING, ELEMENT_COLUMNS, ITEM_WITH_SUM, KEYED_TREES, SUM_ITEM, SUMMING, any_of, contribution, contributions, tree_id
 from ..plans.compile import in_tree
 from ..plans.query import AggregateSumQuery
 from ..sources.store import written
@@ -66,6 +66,52 @@ def propagate(nodes: DataFrame) -> DataFrame:
     return out
 
 
+def settled(nodes: DataFrame, gone: DataFrame, put: DataFrame) -> DataFrame | None:
+    """Tree rows with new aggregates after a change: only trees above what changed, by what changed in them.
+
+    nodes: the forest after the change but for the aggregates. gone, put: rows
+    that the change took out and put in. Level by level, deepest first, the
+    differences are summed by tree, added to what the tree has stored, and the
+    tree's own change passes to the level above. So stored aggregates that
+    were right before are right after, and nothing that did not change is
+    read, but for the trees' own rows. None where no aggregate changes.
+    """
+    trees = nodes.where(F.col("element_type").isin(*SUMMING, BIG_SUM_TREE, *COUNTING))
+
+    def told(rows: DataFrame, sign: int) -> DataFrame:
+        s, b, c = contributions()
+        return rows.select("path", *((F.lit(sign) * x).alias(n) for n, x in zip("sbc", (s, b, c), strict=True)))
+
+    changes = told(gone, -1).unionByName(told(put, 1)).where(F.size("path") > 0)
+    changes = written(changes.groupBy("path").agg(*(F.sum(c).alias(c) for c in "sbc")).where("s <> 0 or b <> 0 or c <> 0"), "changes")
+    deepest = changes.agg(F.max(F.size("path"))).first()[0] or 0
+    above, done = None, None
+    for d in range(deepest, 0, -1):  # as many rounds as levels of nesting
+        here = changes.where(F.size("path") == d)
+        if above is not None:
+            here = here.unionByName(above).groupBy("path").agg(*(F.sum(c).alias(c) for c in "sbc"))
+        here = here.select(F.slice("path", 1, F.size("path") - 1).alias("up__"), F.element_at("path", -1).alias("own__"), "s", "b", "c")
+        here = here.withColumn("up_id__", tree_id(F.col("up__")))
+        hit = trees.join(here, (F.col("tree_id") == F.col("up_id__")) & (F.col("path") == F.col("up__")) & (F.col("key") == F.col("own__")))
+        t = F.col("element_type")
+        zero = F.lit(0).cast("bigint")
+        new = {
+            "sum_value": F.when(t.isin(*SUMMING), F.coalesce("sum_value", zero) + F.col("s")).otherwise(F.col("sum_value")).cast("bigint"),
+            "big_sum_value": F.when(t == BIG_SUM_TREE, F.coalesce("big_sum_value", zero.cast("decimal(38,0)")) + F.col("b")).otherwise(F.col("big_sum_value")).cast("decimal(38,0)"),
+            "count_value": F.when(t.isin(*COUNTING), F.coalesce("count_value", zero) + F.col("c")).otherwise(F.col("count_value")).cast("bigint"),
+        }
+        was = [x.alias(f"was_{n}") for n, x in zip("sbc", contributions(), strict=True)]
+        level = written(hit.select(*COLUMNS, *was, "s", "b", "c").select(*(new.get(c, F.col(c)).alias(c) for c in COLUMNS), "was_s", "was_b", "was_c"), "settled")
+        if level.isEmpty():
+            above = None
+            continue
+        now = contributions()
+        above = level.select("path", *((x - F.col(f"was_{n}")).alias(n) for n, x in zip("sbc", now, strict=True))).where("(s <> 0 or b <> 0 or c <> 0) and size(path) > 0")
+        rows = level.select(*COLUMNS)
+        done = rows if done is None else done.unionByName(rows)
+    return done
+
+
 def verify_aggregates(nodes: DataFrame) -> DataFrame:
     """Trees whose stored aggregates are not those of what they hold."""
     trees = nodes.where(F.col("element_type").isin(*SUMMING, BIG_SUM_TREE, *COUNTING))

@@ -23,22 +23,12 @@ from ..model import ELEMENT_COLUMNS, KEYED_TREES, is_tree, tree_id
 from ..plans.compile import in_tree
 from ..plans.query import PathQuery, Query, QueryItem, span
 from ..sources.store import written
+from .logs import numbered
 
 BLOCK = 4096  # nodes of a tree hashed in one group
 MAX_PROOF_ENTRIES = 100_000
 
 
-def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with n__, its rows' numbers in order, by a range sort and one count for each partition."""
-    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part__", F.spark_partition_id()).withColumn("id__", F.monotonically_increasing_id()), "numbered")
-    starts, at = [], 0
-    for r in rows.groupBy("part__").agg(F.count("*").alias("n"), F.min("id__").alias("first")).orderBy("part__").collect():
-        starts.append((r["part__"], r["first"], at))
-        at += r["n"]
-    table = df.sparkSession.createDataFrame(starts, "part__ int, first__ bigint, start__ bigint")
-    return rows.join(F.broadcast(table), "part__").withColumn("n__", F.col("start__") + F.col("id__") - F.col("first__")).drop("part__", "id__", "first__", "start__")
-
-
 def place(i: int, n: int, block: int = BLOCK) -> tuple[int, int]:
     """Of node i of n: (start, size) of the part of at most ``block`` nodes it lies in, or (i, 0) where it is above them."""
     lo = 0

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import InvalidInput, InvalidProof
@@ -27,26 +26,25 @@ LEAF, INNER = b"\0", b"\1"
 # Positions
 
 
-def append(log: DataFrame, path: Sequence[bytes], values: DataFrame, order: list[Column], capacity: int | None = None) -> DataFrame:
-    """Entries for ``values`` (a column value), in ``order``, after those already in the log at ``path``.
+def numbered(df: DataFrame, order: list[str | Column]) -> DataFrame:
+    """df with n__, its rows' numbers in order: a range sort deals rows to partitions, each counts its own, and no task sees more than its part."""
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part__", F.spark_partition_id()).withColumn("id__", F.monotonically_increasing_id()), "numbered")
+    starts, at = [], 0
+    for r in rows.groupBy("part__").agg(F.count("*").alias("n"), F.min("id__").alias("first")).orderBy("part__").collect():
+        starts.append((r["part__"], r["first"], at))
+        at += r["n"]
+    table = df.sparkSession.createDataFrame(starts, "part__ int, first__ bigint, start__ bigint")
+    return rows.join(F.broadcast(table), "part__").withColumn("n__", F.col("start__") + F.col("id__") - F.col("first__")).drop("part__", "id__", "first__", "start__")
+
 
-    Rows are numbered by range: a sort deals them to partitions, each counts
-    its own, and a row's position is its place in the partition plus what the
-    partitions before it hold; no task sees more than its part.
-    """
+def append(log: DataFrame, path: Sequence[bytes], values: DataFrame, order: list[Column], capacity: int | None = None) -> DataFrame:
+    """Entries for ``values`` (a column value), in ``order``, after those already in the log at ``path``."""
     p = path_literal(tuple(path))
-    before = log.where((F.col("tree_id") == tree_id(p)) & (F.col("path") == p)).count()
-    rows = written(values.orderBy(*order).select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id")), "append")
-    parts = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    starts, at = [], before
-    for r in parts.orderBy("part").collect():  # one row for each partition
-        starts.append((r["part"], r["first"], at))
-        at += r["n"]
-    if capacity is not None and at > capacity:
+    before = of(log, path).count()
+    at = numbered(values, order)
+    if capacity is not None and before + values.count() > capacity:
         raise InvalidInput(f"the tree holds at most {capacity} values")
-    table = log.sparkSession.createDataFrame(starts, "part int, first bigint, start bigint")
-    out = rows.join(F.broadcast(table), "part")
-    return out.select(tree_id(p).alias("tree_id"), p.alias("path"), (F.col("start") + F.col("id") - F.col("first")).alias("position"), "value")
+    return at.select(tree_id(p).alias("tree_id"), p.alias("path"), (F.col("n__") + before).alias("position"), "value")
 
 
 def of(log: DataFrame, path: Sequence[bytes]) -> DataFrame:
@@ -473,8 +471,3 @@ def commitment_rows(notes: DataFrame, payload_bytes: int) -> DataFrame:
         raise InvalidInput("a note has parts of the wrong size")
     return notes.withColumn("value", F.concat("cmx", "rho", "payload"))
 
-
-def per_chunk(rows: DataFrame, limit: int, order: list[Column]) -> DataFrame:
-    """Numbers rows by chunks of at most ``limit`` bytes for a sync, within each tree and in order."""
-    w = W.partitionBy("tree_id").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("chunk", F.floor(F.coalesce(F.sum("size").over(w), F.lit(0)) / limit).cast("bigint"))

@@ -130,7 +130,7 @@ def test_values_and_sums(spark):
 
 
 def small(spark):
-    return m.frame(spark, [element([], A, m.TREE), element([A], b"in", m.TREE), element([A, b"in"], b"k", m.ITEM, item=b"1"), element([A], b"e", m.TREE), element([], B, m.SUM_TREE), element([B], b"s", m.SUM_ITEM, sum=1)])
+    return m.frame(spark, [element([], A, m.TREE), element([A], b"in", m.TREE), element([A, b"in"], b"k", m.ITEM, item=b"1"), element([A], b"e", m.TREE), element([], B, m.SUM_TREE, sum=1), element([B], b"s", m.SUM_ITEM, sum=1)])
 
 
 def test_inserts(spark):
@@ -201,6 +201,164 @@ def test_batches(spark):
     assert writes.apply_batch(nodes, tree, writes.BatchOptions(deleting_trees=writes.CHECK_SKIP)).count() == 6
 
 
+KINDS = [m.TREE, m.SUM_TREE, m.BIG_SUM_TREE, m.COUNT_TREE, m.COUNT_SUM_TREE, m.PROVABLE_COUNT_TREE, m.PROVABLE_COUNT_SUM_TREE]
+
+
+def random_forest(spark, rng):
+    """Three levels of trees of all kinds, with items of all kinds in them, and stored aggregates."""
+    rows, trees = [], [()]
+    for d in range(3):
+        for p in [t for t in trees if len(t) == d]:
+            for k in range(rng.randrange(1, 4)):
+                rows.append(element(p, b"t%d" % k, rng.choice(KINDS)))
+                trees.append((*p, b"t%d" % k))
+    for p in trees[1:]:
+        rows += [leaf(rng, p, k) for k in range(rng.randrange(4))]
+    return aggregates.propagate(m.frame(spark, rows)), trees
+
+
+def leaf(rng, p, k):
+    kind = rng.choice([m.ITEM, m.SUM_ITEM, m.ITEM_WITH_SUM])
+    return element(p, b"i%d" % k, kind, item=None if kind == m.SUM_ITEM else b"x", sum=None if kind == m.ITEM else rng.randrange(-9, 99))
+
+
+def test_writes_keep_aggregates(spark):
+    rng = random.Random(11)
+    columns = [c for c in m.COLUMNS]
+    for _ in range(1):
+        nodes, trees = random_forest(spark, rng)
+        t = lambda least=1: rng.choice([x for x in trees if len(x) >= least])
+        rows = [leaf(rng, p, k) for p in trees[1:] for k in range(6) if rng.random() < 0.2] or [leaf(rng, trees[1], 0)]
+        new = m.frame(spark, rows)
+        deep = t(2)
+        wanted = m.frame(spark, [element(p, b"i%d" % k, m.ITEM) for p in trees[1:] for k in range(2)])
+        subtree = m.frame(spark, [element(deep[:-1], deep[-1], m.TREE)])
+        batch = ops(spark, (writes.DELETE, element(trees[1], b"i0", m.ITEM)), (writes.INSERT_OR_REPLACE, element(deep, b"fresh", m.SUM_TREE)), (writes.INSERT_OR_REPLACE, element((*deep, b"fresh"), b"v", m.SUM_ITEM, sum=41)))
+        other = m.frame(spark, [element(deep[:-1], deep[-1], rng.choice(KINDS))])  # a tree of another kind over one with contents
+        results = [
+            writes.insert(nodes, new),
+            writes.insert_if_not_exists(nodes, new)[0],
+            writes.insert_if_changed(nodes, new)[0],
+            writes.delete(nodes, wanted),
+            writes.delete(nodes, subtree, writes.DeleteOptions(allow_non_empty_trees=True)),
+            writes.clear_subtree(nodes, deep, allow_subtrees=True)[0],
+            writes.apply_batch(nodes, batch, writes.BatchOptions()),
+            writes.insert(nodes, other, writes.InsertOptions(validate_tree_override=False)),
+        ]
+        for n, out in enumerate(results):
+            out = store.written(out, "checked")
+            assert aggregates.verify_aggregates(out).isEmpty(), n
+            again = aggregates.propagate(out).select(columns)
+            assert out.select(columns).exceptAll(again).isEmpty() and again.exceptAll(out.select(columns)).isEmpty(), n
+            assert out.groupBy("path", "key").count().where("count > 1").isEmpty(), n
+
+
+def test_deleting_up_settles_what_is_above(spark):
+    rows = [element([], b"a", m.COUNT_SUM_TREE), element([b"a"], b"b", m.SUM_TREE), element([b"a", b"b"], b"c", m.SUM_TREE), element([b"a", b"b", b"c"], b"k", m.SUM_ITEM, sum=5), element([b"a"], b"z", m.SUM_ITEM, sum=2)]
+    nodes = aggregates.propagate(m.frame(spark, rows))
+    out, n = writes.delete_up_tree_while_empty(nodes, (b"a", b"b", b"c"), b"k")
+    assert n == 3 and items(out) == [((), b"a"), ((b"a",), b"z")]
+    top = out.where("size(path) = 0").first()
+    assert (top.sum_value, top.count_value) == (2, 1)
+    plan = writes.delete_up_tree_ops(nodes, (b"a", b"b", b"c"), b"k")
+    assert [(r.op, bytes(r.key)) for r in plan.orderBy("seq").collect()] == [(writes.DELETE, b"k"), (writes.DELETE_TREE, b"c"), (writes.DELETE_TREE, b"b")]
+    pending = ops(spark, (writes.DELETE, element([b"a"], b"z", m.ITEM)))
+    more = writes.delete_up_tree_ops(nodes, (b"a", b"b", b"c"), b"k", pending=pending)
+    assert more.count() == 5 and more.where("op = 'delete tree'").count() == 3  # with z gone the tree a becomes empty as well
+    assert writes.apply_batch(nodes, more).isEmpty()
+    one = writes.delete_ops(nodes, m.frame(spark, [element([b"a"], b"z", m.ITEM)]))
+    assert [(r.op, bytes(r.key)) for r in one.collect()] == [(writes.DELETE, b"z")]
+    with pytest.raises(errors.DeletingNonEmptyTree):
+        writes.delete_ops(nodes, m.frame(spark, [element([b"a"], b"b", m.TREE)]))
+
+
+def test_ops_are_held_to_what_they_say(spark):
+    nodes = small(spark)
+    ref = lambda k: element([B], k, m.REFERENCE, ref=Reference(m.ABSOLUTE, (A, b"in", b"k")))
+    strict = writes.BatchOptions(check_existence=True)
+    known, absent = ops(spark, (writes.INSERT_KNOWN, element([B], b"s", m.SUM_ITEM, sum=4))), ops(spark, (writes.REPLACE, element([B], b"q", m.SUM_ITEM, sum=4)))
+    for batch in (known, absent):
+        assert not writes.apply_batch(nodes, batch).isEmpty()
+        with pytest.raises(errors.InvalidBatchOperation):
+            writes.apply_batch(nodes, batch, strict)
+    with pytest.raises(errors.OverrideNotAllowed):
+        writes.apply_batch(nodes, known, writes.BatchOptions(validate_override=True))
+    refresh = ops(spark, (writes.REFRESH_REFERENCE, ref(b"r")))
+    with pytest.raises(errors.InvalidBatchOperation):
+        writes.apply_batch(nodes, refresh)
+    assert writes.apply_batch(nodes, refresh, writes.BatchOptions(trust_references=True)).count() == 7
+    with_ref = writes.insert(nodes, m.frame(spark, [ref(b"r")]))
+    assert writes.apply_batch(with_ref, refresh).count() == 7
+
+
+def test_appends_in_a_batch(spark):
+    rows = [element([], b"m", m.MMR_TREE, mmr_size=0), element([], b"b", m.BULK_APPEND_TREE, log_count=0, chunk_power=2), element([], b"d", m.DENSE_TREE, log_count=0, height=2), element([], A, m.COUNT_TREE, count=0)]
+    nodes, log = m.frame(spark, rows), spark.createDataFrame([], store.LOG_SCHEMA)
+    value = lambda op, k, v: (op, element([], k, m.ITEM, item=v))
+    batch = ops(spark, value(writes.MMR_APPEND, b"m", b"1"), value(writes.BULK_APPEND, b"b", b"x"), value(writes.MMR_APPEND, b"m", b"0"), value(writes.MMR_APPEND, b"m", b"1"), (writes.INSERT_OR_REPLACE, element([A], b"k", m.ITEM, item=b"")))
+    with pytest.raises(errors.InvalidBatchOperation):
+        writes.apply_batch(nodes, batch)
+    nodes, log = writes.apply_batch_with_logs(nodes, log, batch)
+    log = store.written(log, "log")
+    got = {(bytes(r.path[0]), r.position): bytes(r.value) for r in log.collect()}
+    assert got == {(b"m", 0): b"1", (b"m", 1): b"0", (b"m", 2): b"1", (b"b", 0): b"x"}
+    tree = {bytes(r.key): r for r in nodes.where("size(path) = 0").collect()}
+    assert (tree[b"m"].mmr_size, tree[b"b"].log_count, tree[A].count_value) == (4, 1, 1)
+    nodes, log = writes.apply_batch_with_logs(nodes, log, ops(spark, *(value(writes.DENSE_INSERT, b"d", bytes([k])) for k in range(3))))
+    assert logs.of(log, (b"d",)).count() == 3 and log.count() == 7
+    with pytest.raises(errors.InvalidInput):
+        writes.apply_batch_with_logs(nodes, log, ops(spark, value(writes.DENSE_INSERT, b"d", b"9")))
+    for bad in (value(writes.MMR_APPEND, b"b", b""), value(writes.MMR_APPEND, b"none", b"")):
+        with pytest.raises(errors.WrongElementType):
+            writes.apply_batch_with_logs(nodes, log, ops(spark, bad))
+
+
+def test_flags_follow_their_callbacks(spark):
+    nodes = m.frame(spark, [element([], A, m.TREE), element([A], b"old", m.ITEM, item=b"x" * 50, flags=b"o"), element([A], b"gone", m.ITEM, item=b"y", flags=b"g")])
+    batch = ops(spark, (writes.INSERT_OR_REPLACE, element([A], b"old", m.ITEM, item=b"x", flags=b"n")), (writes.INSERT_OR_REPLACE, element([A], b"new", m.ITEM, item=b"z", flags=b"n")), (writes.DELETE, element([A], b"gone", m.ITEM)))
+    update = lambda old, new, before, now: F.when(old.isNotNull(), F.concat(old, new)).otherwise(new)
+    out, removed = writes.apply_batch_with_flags(nodes, batch, update, lambda r: r.select("key", "flags", "bytes_left"))
+    assert {bytes(r.key): bytes(r.flags) for r in out.where("size(path) = 1").collect()} == {b"old": b"on", b"new": b"n"}
+    assert {bytes(r.key): (bytes(r.flags), r.bytes_left > 40) for r in removed.collect()} == {b"old": (b"o", True), b"gone": (b"g", True)}
+    _, again = writes.apply_partial_batch_with_flags(nodes, batch, lambda middle: ops(spark, (writes.DELETE, element([A], b"new", m.ITEM))), update, lambda r: r.select("key"))
+    assert sorted(bytes(r.key) for r in again.collect()) == [b"gone", b"new", b"old"]
+    _, split = writes.delete_with_removed_bytes(nodes, m.frame(spark, [element([A], b"gone", m.ITEM)]), lambda r: r.select("key", "bytes_left"))
+    assert [bytes(r.key) for r in split.collect()] == [b"gone"]
+
+
+def test_transactions(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "t"))
+    s.write(small(spark))
+    log = spark.createDataFrame([(1, [bytearray(b"l")], 0, bytearray(b"v"))], store.LOG_SCHEMA)
+    a, b = s.transaction(), s.transaction()
+    a.apply(writes.delete_delta(a.read(), m.frame(spark, [element([B], b"s", m.ITEM)])))
+    a.append(log)
+    assert a.read().count() == 5 and s.read().count() == 6 and s.read("log_entries").isEmpty()
+    b.apply(writes.insert_delta(b.read(), m.frame(spark, [element([B], b"u", m.SUM_ITEM, sum=3)])))
+    at = b.savepoint()
+    b.write(spark.createDataFrame([], m.SCHEMA))
+    assert b.read().isEmpty()
+    b.back_to(at)
+    assert b.read().count() == 7
+    a.commit()
+    assert s.read().count() == 5 and s.read("log_entries").count() == 1 and s.read(version=0).count() == 6
+    with pytest.raises(errors.TransactionConflict):
+        b.commit()
+    b.rollback()
+    with pytest.raises(errors.InvalidInput):
+        a.write(small(spark))
+    for k in range(10):  # past the number of deltas that are kept
+        s.apply(writes.insert_delta(s.read(), m.frame(spark, [element([B], b"n%d" % (k % 4), m.SUM_ITEM, sum=k)])))
+    assert {bytes(r.key): r.sum_value for r in s.read().where("element_type = 3").collect()} == {b"n0": 8, b"n1": 9, b"n2": 6, b"n3": 7}
+    assert s.read().where("element_type = 4").first().sum_value == 30 and len(s.head()[1]["nodes"]) <= store.MAX_DELTAS
+    s.compact()
+    assert len(s.head()[1]["nodes"]) == 1 and s.read().where("element_type = 4").first().sum_value == 30
+    s.put_meta(b"k", b"v")
+    assert s.get_meta(b"k") == b"v" and s.get_meta(b"none") is None
+    with pytest.raises(errors.InvalidInput):
+        s.read(version=999)
+
+
 def test_store_versions_and_checkpoints(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "forest"))
     assert s.read().count() == 0

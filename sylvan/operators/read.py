@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidPath, NotSupported, PathKeyNotFound, PathNotFound, PathParentLayerNotFound, WrongElementType
 from ..functions.scalar import varint
 from ..model import BIG_SUM_TREE, COUNT_SUM_TREE, COUNT_TREE, ELEMENT_COLUMNS, ITEM, ITEM_WITH_SUM, PROVABLE_COUNT_SUM_TREE, PROVABLE_COUNT_TREE, SUM_ITEM, SUM_TREE, binary, path_literal, tree_id
-from ..plans.compile import RESULT, Options, in_tree, query_raw, tree_exists
+from ..plans.compile import RESULT, Options, in_tree, query_raw, resolved, tree_exists
 from ..plans.query import PathQuery
 from .references import absolute, resolve
 
@@ -80,6 +80,11 @@ def scan(nodes: DataFrame, path: Sequence[bytes], start: bytes | None = None, en
     return df.orderBy(F.desc("key") if descending else F.asc("key")).select(*RESULT)
 
 
+def seek(nodes: DataFrame, path: Sequence[bytes], key: bytes | None = None, last: bool = False) -> DataFrame:
+    """The element where a cursor comes to rest, if there is one: the first key from ``key`` on, or the last one up to it; without a key the tree's first or last."""
+    return (scan(nodes, path, end=key, descending=True) if last else scan(nodes, path, start=key)).limit(1)
+
+
 def get_with_absolute_refs(nodes: DataFrame, path: Sequence[bytes], key: bytes) -> DataFrame:
     return absolute(get_raw(nodes, path, key))
 
@@ -96,14 +101,14 @@ def _typed(rows: DataFrame, allowed: Sequence[int], what: str) -> DataFrame:
 
 def query_item_value(nodes: DataFrame, pq: PathQuery, options: Options | None = None) -> DataFrame:
     """The bytes of items in result order; a sum item's are its varint."""
-    rows = _typed(resolve(query_raw(nodes, pq, options), nodes), (ITEM, ITEM_WITH_SUM, SUM_ITEM), "path queries can only refer to items")
+    rows = _typed(resolved(nodes, pq, options), (ITEM, ITEM_WITH_SUM, SUM_ITEM), "path queries can only refer to items")
     return rows.select("path", "key", F.coalesce("item_value", varint(F.col("sum_value"))).alias("value"))
 
 
 def query_item_value_or_sum(nodes: DataFrame, pq: PathQuery, options: Options | None = None) -> DataFrame:
     """What each element holds, by kind: item, sum, big sum, count, count and sum, item and sum."""
     allowed = (ITEM, SUM_ITEM, ITEM_WITH_SUM, SUM_TREE, BIG_SUM_TREE, COUNT_TREE, COUNT_SUM_TREE, PROVABLE_COUNT_TREE, PROVABLE_COUNT_SUM_TREE)
-    rows = _typed(resolve(query_raw(nodes, pq, options), nodes), allowed, "path queries can only refer to items, sums and counts")
+    rows = _typed(resolved(nodes, pq, options), allowed, "path queries can only refer to items, sums and counts")
     t = F.col("element_type")
     kind = F.when(t == ITEM, "item").when(t == ITEM_WITH_SUM, "item and sum").when(t.isin(SUM_ITEM, SUM_TREE), "sum").when(t == BIG_SUM_TREE, "big sum").when(t.isin(COUNT_TREE, PROVABLE_COUNT_TREE), "count").otherwise("count and sum")
     return rows.select("path", "key", kind.alias("kind"), "item_value", "sum_value", "big_sum_value", "count_value")
@@ -111,7 +116,7 @@ def query_item_value_or_sum(nodes: DataFrame, pq: PathQuery, options: Options |
 
 def query_sums(nodes: DataFrame, pq: PathQuery, options: Options | None = None) -> DataFrame:
     """The sums of sum items; through a reference an item with a sum is an error."""
-    rows = _typed(resolve(query_raw(nodes, pq, options), nodes), (SUM_ITEM, ITEM_WITH_SUM), "path queries over sums can only refer to sum items")
+    rows = _typed(resolved(nodes, pq, options), (SUM_ITEM, ITEM_WITH_SUM), "path queries over sums can only refer to sum items")
     rows = rows.withColumn("through", F.col("hops") > 0)
     if not rows.where(F.col("through") & (F.col("element_type") == ITEM_WITH_SUM)).isEmpty():
         raise WrongElementType("the reference must result in a sum item")
@@ -130,9 +135,7 @@ def query_raw_keys_optional(nodes: DataFrame, pq: PathQuery, options: Options |
         raise NotSupported("offsets are not supported when keys are optional")
     keys = pq.terminal_keys(pq.limit)
     options = options or Options(error_if_path_missing=False)
-    found = query_raw(nodes, pq, options)
-    if dereference:
-        found = resolve(found, nodes).select(*RESULT)
+    found = resolved(nodes, pq, options).select(*RESULT) if dereference else query_raw(nodes, pq, options)
     wanted = nodes.sparkSession.createDataFrame([([bytearray(p) for p in path], bytearray(k), n) for n, (path, k) in enumerate(keys)], "path array<binary>, key binary, place int")
     return wanted.join(found, ["path", "key"], "left").orderBy("place").select(*RESULT)
 

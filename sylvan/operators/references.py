@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,16 +21,21 @@ def follow(rows: DataFrame, nodes: DataFrame, max_hops: int = MAX_HOPS) -> DataF
     Adds at_path, at_key (of the element found), hops, ref_state (0: found;
     1: the kind cannot be satisfied; 2: a cycle; 3: nothing there; 4: too many
     hops); element columns become those of the element found. Each hop is one
-    equi-join of the rows that still are references; it ends when none is.
+    equi-join of the rows that still are references, written once; it ends
+    when none is.
     """
+    plain, ended = _followed(rows, nodes, max_hops)
+    return reduce(DataFrame.unionByName, ended, plain)
+
+
+def _followed(rows: DataFrame, nodes: DataFrame, max_hops: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(rows that are no references, those that were, by hop)"""
     extra = [c for c in rows.columns if c not in ELEMENT_COLUMNS]
-    done = rows.where(F.col("element_type") != REFERENCE).select(*extra, *ELEMENT_COLUMNS, F.col("path").alias("at_path"), F.col("key").alias("at_key"), F.lit(0).alias("hops"), F.lit(0).alias("ref_state"))
+    plain = rows.where(F.col("element_type") != REFERENCE).select(*extra, *ELEMENT_COLUMNS, F.col("path").alias("at_path"), F.col("key").alias("at_key"), F.lit(0).alias("hops"), F.lit(0).alias("ref_state"))
     open_ = rows.where(F.col("element_type") == REFERENCE).select(*extra, *ELEMENT_COLUMNS, F.col("path").alias("at_path"), F.col("key").alias("at_key"), F.array(F.concat("path", F.array("key"))).alias("seen"))
     look = nodes.select(F.col("tree_id").alias("t_id"), F.col("path").alias("t_path"), F.col("key").alias("t_key"), *(F.col(c).alias(f"t_{c}") for c in ELEMENT_COLUMNS))
+    ended: list[DataFrame] = []
     for hop in range(1, max_hops + 1):
-        open_ = written(open_, "references")
-        if open_.isEmpty():
-            return done
         to = open_.withColumn("to", target(F.col("at_path"), F.col("at_key"), F.col("ref")))
         to = to.withColumn("to_path", F.when(F.size("to") > 0, F.slice("to", 1, F.size("to") - 1))).withColumn("to_key", F.when(F.size("to") > 0, F.element_at("to", -1)))
         to = to.withColumn("cycle", F.array_contains("seen", F.col("to"))).withColumn("to_id", tree_id(F.col("to_path")))
@@ -36,22 +43,21 @@ def follow(rows: DataFrame, nodes: DataFrame, max_hops: int = MAX_HOPS) -> DataF
         state = F.when(F.col("to_key").isNull(), 1).when(F.col("cycle"), 2).when(F.col("t_key").isNull(), 3).when((F.col("t_element_type") == REFERENCE) & F.lit(hop == max_hops), 4).when(F.col("t_element_type") != REFERENCE, 0)
         hit = written(hit.withColumn("ref_state", state), "hop")
         new = [F.when(F.col("t_key").isNotNull(), F.col(f"t_{c}")).otherwise(F.col(c)).alias(c) for c in ELEMENT_COLUMNS]
-        ended = hit.where("ref_state is not null").select(*extra, *new, F.coalesce("t_path", "at_path").alias("at_path"), F.coalesce("t_key", "at_key").alias("at_key"), F.lit(hop).alias("hops"), "ref_state")
-        done = done.unionByName(ended)
-        open_ = hit.where("ref_state is null").select(*extra, *(F.col(f"t_{c}").alias(c) for c in ELEMENT_COLUMNS), F.col("t_path").alias("at_path"), F.col("t_key").alias("at_key"), F.concat("seen", F.array("to")).alias("seen"))
-    return done
+        ended.append(hit.where("ref_state is not null").select(*extra, *new, F.coalesce("t_path", "at_path").alias("at_path"), F.coalesce("t_key", "at_key").alias("at_key"), F.lit(hop).alias("hops"), "ref_state"))
+        left = hit.where("ref_state is null")
+        if left.isEmpty():
+            break
+        open_ = left.select(*extra, *(F.col(f"t_{c}").alias(c) for c in ELEMENT_COLUMNS), F.col("t_path").alias("at_path"), F.col("t_key").alias("at_key"), F.concat("seen", F.array("to")).alias("seen"))
+    return plain, ended
 
 
-def check(followed: DataFrame) -> DataFrame:
-    """followed, unless a reference in it leads nowhere: then the error of the first such row."""
-    bad = followed.where("ref_state > 0").orderBy("path", "key").select("ref_state", "path", "key").first()
+def resolve(rows: DataFrame, nodes: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+    """follow, and an error where a reference leads nowhere: that of the first such row."""
+    plain, ended = _followed(rows, nodes, max_hops)
+    bad = reduce(DataFrame.unionByName, [e.where("ref_state > 0").select("ref_state", "path", "key") for e in ended]).orderBy("path", "key").first()
     if bad:
         raise STATES[bad["ref_state"]](f"reference at {[bytes(p) for p in bad['path']]} / {bytes(bad['key'])}")
-    return followed
-
-
-def resolve(rows: DataFrame, nodes: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    return check(follow(rows, nodes, max_hops))
+    return reduce(DataFrame.unionByName, ended, plain)
 
 
 def absolute(rows: DataFrame) -> DataFrame:

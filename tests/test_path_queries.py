@@ -104,6 +104,29 @@ def test_random_queries_against_the_interpreter(spark, seed):
         assert got(query_raw(nodes, pq, options)) == run(trees, pq), pq
 
 
+def test_limits_taken_a_few_places_at_a_time(spark, monkeypatch):
+    from sylvan.plans import compile
+
+    rng = random.Random(77)
+    rows, keys = random_forest(rng)
+    rows += [m.element([], b"many", m.TREE)] + [m.element([b"many"], int_key(i), m.TREE) for i in range(9)] + [m.element([b"many", int_key(8)], b"k", m.ITEM, item=b"")]
+    nodes, trees = load(spark, rows)
+    monkeypatch.setattr(compile, "_at_once", lambda pq: rng.randrange(1, 4))
+    deep = Query.all().subquery(Query.all().subquery(Query.all()))
+    for q in (deep, Query.all(False).subquery(deep), random_query(rng, keys), random_query(rng, keys)):
+        for limit, offset in ((2, None), (4, 2)):
+            for shrink in (True, False):
+                pq = PathQuery((), q, limit, offset)
+                assert got(query_raw(nodes, pq, Options(error_if_path_missing=False, decrease_limit_on_empty=shrink))) == run(trees, pq, shrink), pq
+
+
+def test_references_keep_the_order(spark):
+    rows = [m.element([], LEAF, m.TREE)] + [m.element([LEAF], int_key(i), m.ITEM, item=b"v") if i % 2 else m.element([LEAF], int_key(i), m.REFERENCE, ref=m.Reference(m.SIBLING, (int_key(1),))) for i in range(10)]
+    nodes, _ = load(spark, rows)
+    for asc in (True, False):
+        assert [k for _, k in got(query(nodes, PathQuery((LEAF,), Query.all(asc))))] == [int_key(i) for i in (range(10) if asc else range(9, -1, -1))]
+
+
 def test_missing_trees_and_limits(spark, years):
     nodes, _ = years
     with pytest.raises(errors.PathParentLayerNotFound):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidInput, InvalidProof
 from ..functions.hashing import ZERO, blake3, blake3_many
-from ..model import path_literal, tree_id
+from ..model import BULK_APPEND_TREE, COMMITMENT_TREE, DENSE_TREE, MMR_TREE, path_literal, tree_id
 from ..plans.query import QueryItem
 from ..sources.store import written
 
@@ -175,6 +175,81 @@ def mmr_peaks(log: DataFrame, path: Sequence[bytes]) -> list[bytes]:
     return [bytes(r["value"]) for r in x.orderBy("peak").collect()]  # one row a peak
 
 
+def _peaks_of_all(entries: DataFrame) -> DataFrame:
+    """(path, height, value) of the peaks of every log in ``entries``: all logs are folded together, a block of leaves a group.
+
+    The peak of a leaf is the highest bit in which its position differs from
+    the log's length; below it lie 2**height leaves.
+    """
+    n = entries.groupBy(F.col("path").alias("n_path")).agg(F.count("*").alias("n"))
+    x = entries.join(n, F.col("path") == F.col("n_path"))
+    height = F.length(F.bin(F.col("n").bitwiseXOR(F.col("position")))) - 1
+    first = F.call_function("shiftleft", F.call_function("shiftright", "n", F.col("height") + 1), F.col("height") + 1)
+    x = x.withColumn("height", height.cast("int")).select("path", "height", (F.col("position") - first).alias("i"), "value", F.lit(True).alias("leaf"))
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        hs = list(map(bytes, pdf["value"]))
+        if pdf["leaf"].iloc[0]:
+            hs = blake3_many([LEAF + v for v in hs])
+        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "height": [pdf["height"].iloc[0]], "i": [pdf["i"].iloc[0] >> FOLD], "value": [_fold(hs)], "leaf": [False]})
+
+    tallest = x.agg(F.max("height")).first()[0]
+    while tallest is not None:
+        x = written(x.groupBy("path", "height", F.shiftright("i", FOLD).alias("block")).applyInPandas(block, "path array<binary>, height int, i bigint, value binary, leaf boolean"), "fold")
+        tallest -= FOLD
+        if tallest <= 0:
+            break
+    return x.select("path", "height", "value")
+
+
+def _bagged(tops: DataFrame) -> DataFrame:
+    """(path, root) from peaks: at most 64 a log."""
+
+    @F.pandas_udf("binary")
+    def bags(lists: pd.Series) -> pd.Series:
+        return pd.Series([bag([bytes(p["value"]) for p in reversed(ps)]) for ps in lists])
+
+    return tops.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("height", "value"))).alias("tops")).select("path", bags("tops").alias("root"))
+
+
+def log_roots(nodes: DataFrame, log: DataFrame) -> DataFrame:
+    """(path, root) of every log that a tree element names and that holds something: of all logs of a kind together.
+
+    A commitment tree's own tree over a curve is out of scope: its anchor is
+    taken as zeros, and its root covers all its entries.
+    """
+    trees = nodes.where(F.col("element_type").isin(MMR_TREE, BULK_APPEND_TREE, DENSE_TREE, COMMITMENT_TREE)).select(F.concat("path", F.array("key")).alias("t_path"), F.col("element_type").alias("kind"), F.coalesce("chunk_power", F.lit(0)).cast("int").alias("power"))
+    x = written(log.join(trees, F.col("path") == F.col("t_path")).select("path", "position", "value", "kind", "power"), "entries")
+    mmr = _bagged(_peaks_of_all(x.where(F.col("kind") == MMR_TREE).select("path", "position", "value")))
+    chunked = x.where(F.col("kind").isin(BULK_APPEND_TREE, COMMITMENT_TREE))
+    n = chunked.groupBy(F.col("path").alias("n_path")).agg(F.count("*").alias("n"))
+    chunked = written(chunked.join(n, F.col("path") == F.col("n_path")).withColumn("chunk", F.call_function("shiftright", "position", "power")).withColumn("chunks", F.call_function("shiftright", "n", "power")), "chunked")
+
+    @F.pandas_udf("binary")
+    def blobs(lists: pd.Series) -> pd.Series:
+        return pd.Series([serialize_chunk([bytes(e["value"]) for e in es]) for es in lists])
+
+    @F.pandas_udf("binary")
+    def dense(lists: pd.Series) -> pd.Series:
+        return pd.Series([dense_root([bytes(e["value"]) for e in es]) for es in lists])
+
+    @F.pandas_udf("binary")
+    def states(range_root: pd.Series, buffer_root: pd.Series, kind: pd.Series) -> pd.Series:
+        out = [blake3(b"bulk_state" + bytes(a or ZERO) + bytes(b or ZERO)) for a, b in zip(range_root, buffer_root, strict=True)]
+        return pd.Series([commitment_state_root(ZERO, h) if k == COMMITMENT_TREE else h for h, k in zip(out, kind, strict=True)])
+
+    def listed(rows: DataFrame, *keys: str) -> DataFrame:  # chunks, buffers and dense trees: bounded by their power or height
+        return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("position", "value"))).alias("entries"))
+
+    whole = listed(chunked.where("chunk < chunks"), "path", "chunk").select("path", F.col("chunk").cast("bigint").alias("position"), blobs("entries").alias("value"))
+    ranges = _bagged(_peaks_of_all(written(whole, "blobs"))).withColumnRenamed("root", "range_root")
+    buffers = listed(chunked.where("chunk >= chunks"), "path").select("path", dense("entries").alias("buffer_root"))
+    state = chunked.select("path", "kind").distinct().join(ranges, "path", "left").join(buffers, "path", "left").select("path", states("range_root", "buffer_root", "kind").alias("root"))
+    own = listed(x.where(F.col("kind") == DENSE_TREE), "path").select("path", dense("entries").alias("root"))
+    return mmr.unionByName(state).unionByName(own)
+
+
 def mmr_root(log: DataFrame, path: Sequence[bytes]) -> bytes:
     return bag(mmr_peaks(log, path))
 

@@ -12,10 +12,11 @@ the first of the order, and of them no values.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..errors import InvalidQuery, PathParentLayerNotFound, WrongElementType
@@ -54,7 +55,9 @@ class _Plan:
         types = {"item__": "int", "up__": "binary", "down__": "binary"}
         empty = [F.lit(None).cast(types[n.rstrip("0123456789")]).alias(n) for n in names if n not in have]
         there = F.col("there__") if kind == LOOKED_UP else F.lit(kind == ROW)
-        self.events.append(df.select(*have, *empty, F.lit(level).alias("level__"), F.lit(kind).alias("kind__"), there.alias("there__"), *RESULT))
+        # The tree that is entered, or below which a key is looked up.
+        tree = F.col("tree__") if kind == LOOKED_UP else F.concat("path", F.array("key")) if kind == ENTERED else F.lit(None).cast("array<binary>")
+        self.events.append(df.select(*have, *empty, F.lit(level).alias("level__"), F.lit(kind).alias("kind__"), there.alias("there__"), tree.alias("tree__"), *RESULT))
 
     def refuse(self, df: DataFrame) -> None:
         self.checks.append(df.select(F.lit("you must provide a subquery or a subquery path for trees").alias("error"), "path", "key"))
@@ -135,7 +138,7 @@ def _run(plan: _Plan, found: DataFrame, queries: list[Query]) -> None:
         looks = [k for k in going if branches[k].query is None]
         if looks:
             wanted = [path_literal(branches[k].path[-1:])[0] for k in looks]
-            to = below(looks).select(*names, "in_path__", _by("query__", wanted).alias("in_key__"))
+            to = below(looks).select(*names, "in_path__", _by("query__", wanted).alias("in_key__"), F.concat("path", F.array("key")).alias("tree__"))
             n = plan.nodes.where(any_of(F.col("key") == w for w in wanted)).select("tree_id", *RESULT)
             t = to.withColumn("in_id__", tree_id(F.col("in_path__")))
             hit = t.join(n, (F.col("in_id__") == F.col("tree_id")) & (F.col("in_path__") == F.col("path")) & (F.col("in_key__") == F.col("key")), "left")
@@ -235,24 +238,19 @@ def _at_once(pq: PathQuery) -> int:
     return max(1024, 2 * (pq.limit + (pq.offset or 0)))
 
 
-def _limited(plan: _Plan, events: DataFrame, pq: PathQuery) -> tuple[DataFrame, list[Column]]:
-    """The rows that a limit of at most 65,535 admits.
-
-    The first places of the order, twice as many as limit and offset name, are
-    taken at a time, without values; where trees that cost less than they hold
-    use these up, the next ones are taken from there on, past any tree whose
-    own copy of the limit is used up. Rows are joined by path and key.
-    """
+def _walked(plan: _Plan, events: DataFrame, pq: PathQuery, visit: Callable[[Row], None] | None = None) -> Walk:
+    """The walk over the events of a limited query, to its end; visit is told those that count."""
     names = plan.order_names()
     at_once = _at_once(pq)
-    places = events.select(*names, "level__", "kind__", "there__", "path", "key")
+    places = events.select(*names, "level__", "kind__", "there__", "tree__", "path", "key")
     walk = Walk(pq, plan.options)
     after: tuple | None = None
     while not walk.done:
         part = places if after is None else places.where(_after(names, after))
         rows = part.orderBy(*_order(plan)).limit(at_once).collect()
         for r in rows:
-            walk.see(r["level__"], r["kind__"], r["there__"], r["path"], r["key"])
+            if walk.see(r["level__"], r["kind__"], r["there__"], r["path"], r["key"]) and visit:
+                visit(r)
             if walk.done:
                 break
         if len(rows) < at_once:
@@ -260,6 +258,37 @@ def _limited(plan: _Plan, events: DataFrame, pq: PathQuery) -> tuple[DataFrame,
         last = rows[-1]
         inside = walk.used_up()
         after = tuple(last[n] for n in names[: 3 * inside if inside else None])
+    return walk
+
+
+def seen(nodes: DataFrame, pq: PathQuery, options: Options | None = None) -> tuple[set[tuple[bytes, ...]], tuple[bytes, ...] | None]:
+    """Of a query with a limit: (trees that it enters or looks below, place of the last thing it reads, or None if it runs to its end)."""
+    options = options or Options(error_if_path_missing=False)
+    plan = _Plan(nodes, options, pq.query.max_depth())
+    _run(plan, in_tree(nodes, pq.path).withColumn("query__", F.lit(0)), [pq.query])
+    trees: set[tuple[bytes, ...]] = set()
+    last: list[tuple[bytes, ...]] = []
+
+    def visit(r: Row) -> None:
+        at = tuple(map(bytes, r["tree__"] if r["tree__"] is not None else [*r["path"], r["key"]]))
+        if r["tree__"] is not None:
+            trees.add(at)
+        last[:] = [at]
+
+    walk = _walked(plan, reduce(DataFrame.unionByName, plan.events), pq, visit)
+    walk.back_to(1)
+    return trees, last[0] if last and walk.done else None
+
+
+def _limited(plan: _Plan, events: DataFrame, pq: PathQuery) -> tuple[DataFrame, list[Column]]:
+    """The rows that a limit of at most 65,535 admits.
+
+    The first places of the order, twice as many as limit and offset name, are
+    taken at a time, without values; where trees that cost less than they hold
+    use these up, the next ones are taken from there on, past any tree whose
+    own copy of the limit is used up. Rows are joined by path and key.
+    """
+    walk = _walked(plan, events, pq)
     spark = plan.nodes.sparkSession
     chosen = spark.createDataFrame([(p, k, n) for n, (p, k) in enumerate(walk.out)], "p__ array<binary>, k__ binary, n__ int")
     chosen = chosen.withColumn("id__", tree_id(F.col("p__")))
@@ -296,7 +325,8 @@ class Walk:
         """The level of nesting of the outermost tree whose copy of the limit is used up; 0 where there is none."""
         return next((k for k, x in enumerate(self.left) if k and x == 0), 0)
 
-    def see(self, level: int, kind: int, there: bool, path, key) -> None:
+    def back_to(self, level: int) -> bool:
+        """Leaves the trees that lie deeper than ``level``; whether the limit still lets something in there."""
         while len(self.left) > level:
             self.left.pop()
             n = self.got.pop()
@@ -304,8 +334,12 @@ class Walk:
             self.got[-1] += n
         if self.left[0] == 0:
             self.done = True
-        if any(x == 0 for x in self.left):
-            return
+        return all(x != 0 for x in self.left)
+
+    def see(self, level: int, kind: int, there: bool, path, key) -> bool:
+        """Takes an event; whether it counts, or lies past a limit."""
+        if not self.back_to(level):
+            return False
         if kind == ENTERED:
             self.left.append(self.left[-1])
             self.got.append(0)
@@ -316,6 +350,7 @@ class Walk:
                 self.out.append((path, key))
                 self.got[-1] += 1
             self._spend(1)
+        return True
 
 
 def resolved(nodes: DataFrame, pq: PathQuery, options: Options | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from sylvan import errors, model as m
 from sylvan.functions import flags, hashing, scalar, serde
 from sylvan.model import Reference, element, int_key
 from sylvan.operators import aggregates, integrity, logs, read, references, writes
+from sylvan.plans.compile import Options, query_raw
 from sylvan.plans.query import AggregateSumQuery, PathQuery, Query, key, span
 from sylvan.sources import store
 
@@ -499,15 +500,120 @@ def test_more_proofs(spark):
         logs.dense_verify_for_query(dense, logs.dense_root(values), [span("range_full")])
 
 
+def test_proofs_of_random_queries(spark):
+    """Proved rows are the query's own, limits included; what is taken away or changed is noticed."""
+    rng = random.Random(21)
+    nodes, trees = random_forest(spark, rng)
+    nodes = store.written(nodes, "forest")
+    keys = [b"t0", b"t1", b"t2", b"i0", b"i1", b"i2"]
+
+    def random_q(depth=0):
+        items = [rng.choice([span("range_full"), key(rng.choice(keys)), span("range_from", rng.choice(keys)), span("range_to", end=rng.choice(keys))])]
+        q = Query(items, left_to_right=rng.random() < 0.5)
+        if depth < 2:
+            path = rng.choice([None, None, [rng.choice(keys[:2])]])
+            q.subquery(random_q(depth + 1) if path is None or rng.random() < 0.6 else None, path)
+        return q
+
+    for block in (4096, 2):
+        hashes = integrity.hash_forest(nodes, block=block)
+        root = integrity._root(hashes.roots)
+        for _ in range(4):
+            pq = PathQuery(rng.choice(trees), random_q(), rng.choice([None, 1, 2, 4]))
+            want = [(tuple(map(bytes, r.path)), bytes(r.key)) for r in query_raw(nodes, pq, Options(error_if_path_missing=False)).collect()]
+            data = integrity.get_proved_path_query(nodes, pq, hashes)
+            got = integrity.verify_query(data, pq, root)
+            assert [(p, k) for p, k, _ in got] == want, pq
+            stored = {(tuple(map(bytes, r.path)), bytes(r.key)): serde.of_row(r) for r in nodes.collect()}
+            assert all(serde.deserialize(stored[p, k]) == e for p, k, e in got)
+            if got:
+                bad = bytearray(data)
+                bad[rng.randrange(len(bad))] ^= 1
+                try:
+                    assert integrity.verify_query(bytes(bad), pq, root) == got  # a changed hash that is not needed can't be, but an option may read alike
+                except errors.ForestError:
+                    pass
+                except Exception as e:  # bytes that are no element
+                    assert isinstance(e, (IndexError, KeyError, RecursionError, ValueError)), e
+
+
+def test_counts_are_part_of_provable_hashes(spark):
+    forest = lambda kind, n: aggregates.propagate(m.frame(spark, [element([], A, kind)] + [element([A], int_key(i), m.SUM_ITEM, sum=i) for i in range(n)]))
+    for kind in (m.PROVABLE_COUNT_TREE, m.PROVABLE_COUNT_SUM_TREE):
+        plain = {tuple(map(bytes, r.path)): bytes(r.root) for r in integrity.tree_roots(forest(m.COUNT_TREE, 9)).collect()}
+        nodes = forest(kind, 9)
+        for block in (4096, 3):
+            hashes = integrity.hash_forest(nodes, block=block)
+            found = {tuple(map(bytes, r.path)): (bytes(r.root), r.n) for r in hashes.roots.collect()}
+            kv = hashing.kv_hashes([int_key(i) for i in range(9)], hashing.value_hashes([serde.serialize(m.SUM_ITEM, sum=i) for i in range(9)]))
+            assert found[A,][0] != plain[A,] and found[A,] == (integrity.fold(kv, [1] * 9), 9)
+            pq = PathQuery((A,), Query([span("range", int_key(2), int_key(4))]))
+            proof = integrity.prove_query(nodes, pq, hashes)
+            info, rows = integrity.verify_query_get_parent_tree_info(proof.to_bytes(), pq, found[()][0])
+            assert info[2] == 9 and len(rows) == 2
+
+            def recount(t):
+                if t is None:
+                    return None
+                if t[0] == "hash":
+                    return ("hash", t[1], t[2] + 1)
+                return (*t[:4], recount(t[4]), recount(t[5]))
+
+            wrong = integrity.Layer(proof.tree, {A: integrity.Layer(recount(proof.below[A].tree))})
+            with pytest.raises(errors.InvalidProof):
+                integrity.verify_query(wrong, pq, found[()][0])
+    with pytest.raises(errors.NotSupported):
+        integrity.verify_query_get_parent_tree_info(proof, PathQuery((), Query.all()), bytes(32))
+    with pytest.raises(errors.InvalidProof):
+        integrity.Layer.from_bytes(proof.to_bytes()[:-1])
+
+
+def test_roots_cover_logs(spark):
+    rows = [element([], b"m", m.MMR_TREE, mmr_size=0), element([], b"b", m.BULK_APPEND_TREE, log_count=0, chunk_power=2), element([], b"d", m.DENSE_TREE, log_count=0, height=5), element([], b"c", m.COMMITMENT_TREE, log_count=0, chunk_power=1), element([], b"e", m.MMR_TREE, mmr_size=0)]
+    nodes = m.frame(spark, rows)
+    sizes = {b"m": 11, b"b": 10, b"d": 6, b"c": 5}
+    log = spark.createDataFrame([(0, [bytearray(k)], i, bytearray(b"%d" % i)) for k, n in sizes.items() for i in range(n)], store.LOG_SCHEMA).withColumn("tree_id", m.tree_id(F.col("path")))
+    roots = {bytes(r.path[0]): bytes(r.root) for r in logs.log_roots(nodes, log).collect()}
+    v = lambda n: [b"%d" % i for i in range(n)]
+    state = lambda n, p: hashing.blake3(b"bulk_state" + logs.Mmr([logs.serialize_chunk(v(n)[k : k + (1 << p)]) for k in range(0, n >> p << p, 1 << p)]).root() + logs.dense_root(v(n)[n >> p << p :]))
+    assert roots == {b"m": logs.Mmr(v(11)).root(), b"b": state(10, 2), b"d": logs.dense_root(v(6)), b"c": logs.commitment_state_root(bytes(32), state(5, 1))}
+    assert roots[b"m"] == logs.mmr_root(log, (b"m",)) and roots[b"b"] == logs.bulk_state_root(log, (b"b",), 2)
+    whole = integrity.root_hash(nodes, log)
+    assert whole != integrity.root_hash(nodes) and whole != integrity.root_hash(nodes, log.where("not (size(path) = 1 and position = 10)"))
+    pq = PathQuery((), Query.all())
+    assert len(integrity.verify_query(integrity.prove_query(nodes, pq, log=log), pq, whole)) == 5
+    assert integrity.describe_bad_roots(nodes, integrity.tree_roots(nodes, log=log), log).isEmpty()
+
+
 def test_depths_and_trunks(spark):
     assert [integrity.max_depth_of(n) for n in (0, 1, 2, 4, 7, 12, 88, 100)] == [0, 1, 2, 3, 4, 5, 9, 9]
     assert [integrity.chunk_depths(*a) for a in ((20, 8), (15, 5), (10, 4), (5, 10))] == [[7, 7, 6], [5, 5, 5], [4, 3, 3], [5]]
     assert [integrity.chunk_depths_with_minimum(*a) for a in ((10, 8, 6), (11, 8, 6), (13, 8, 6), (14, 8, 6))] == [[6, 4], [6, 5], [7, 6], [7, 7]]
     keys = [int_key(i) for i in range(20)]
-    top, leaves = integrity.trunk(keys, 2)
-    assert len(top) == 3 and len(leaves) == 4 and all(k in top or integrity.trace_key_to_leaf(k, leaves) for k in keys)
-    nodes = m.frame(spark, [element([A], k, m.ITEM, item=b"") for k in keys])
-    assert sorted(bytes(r.key) for r in integrity.levels(nodes, (A,), 2).collect()) == top
+    nodes = m.frame(spark, [element([], A, m.TREE)] + [element([A], k, m.ITEM, item=k) for k in keys])
+    for block in (4096, 3):
+        hashes = integrity.hash_forest(nodes, block=block)
+        root = integrity._root(hashes.roots)
+        proof = integrity.Layer.from_bytes(integrity.prove_trunk(nodes, (A,), 2, hashes).to_bytes())
+        chunk = integrity.verify_trunk(proof, (A,), 2, root)
+        assert len(chunk.elements) == 3 and len(chunk.leaves) == 4 and all(k in chunk.elements or chunk.trace(k) for k in keys)
+        assert sorted(bytes(r.key) for r in integrity.levels(nodes, (A,), 2).collect()) == sorted(chunk.elements)
+        told = dict(chunk.elements)
+        todo = list(chunk.leaves)
+        while todo:  # branch after branch, until all is known
+            leaf = todo.pop()
+            branch = integrity.verify_branch(integrity.prove_branch(nodes, (A,), leaf, 2, hashes), leaf, 2)
+            told |= branch.elements
+            todo += branch.leaves
+        assert {k: e["item"] for k, e in told.items()} == {k: k for k in keys}
+        top = max(chunk.above, key=lambda k: -len(chunk.above[k]))
+        assert all(chunk.ancestor(x, 9) == top and chunk.ancestor(x, 1) == x.above[-1] for x in chunk.leaves) and integrity.root_key(nodes, (A,)) == top
+        said = integrity.trunk_query(proof, (A,), 2, root, [keys[0], top, b"none"])
+        assert said[top]["item"] == top and isinstance(said[keys[0]], integrity.Leaf)
+        with pytest.raises(errors.InvalidProof):
+            integrity.verify_trunk(proof, (A,), 3, root)
+        with pytest.raises(errors.InvalidProof):
+            integrity.verify_branch(integrity.prove_branch(nodes, (A,), chunk.leaves[0], 2, hashes), chunk.leaves[1], 2)
 
 
 # Bytes

@@ -112,6 +112,14 @@ def settled(nodes: DataFrame, gone: DataFrame, put: DataFrame) -> DataFrame | No
     return done
 
 
+def with_aggregates(trees: DataFrame, found: DataFrame) -> DataFrame:
+    """Tree rows with the aggregates of ``found`` (tree_path and the three values), by kind: what a kind has no use for is null. Flags and all else stay."""
+    x = trees.withColumn("at__", F.concat("path", F.array("key"))).join(found.select("tree_path", *(F.col(c).alias(f"new_{c}") for c in AGG)), F.col("at__") == F.col("tree_path"), "left")
+    t = F.col("element_type")
+    use = {"sum_value": t.isin(*SUMMING), "big_sum_value": t == BIG_SUM_TREE, "count_value": t.isin(*COUNTING)}
+    return x.select(*(F.when(use[c], F.coalesce(f"new_{c}", c)).alias(c) if c in AGG else F.col(c) for c in trees.columns))
+
+
 def verify_aggregates(nodes: DataFrame) -> DataFrame:
     """Trees whose stored aggregates are not those of what they hold."""
     trees = nodes.where(F.col("element_type").isin(*SUMMING, BIG_SUM_TREE, *COUNTING))

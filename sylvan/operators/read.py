@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import InvalidPath, NotSupported, PathKeyNotFound, PathNotFound, PathParentLayerNotFound, WrongElementType
+from ..errors import InvalidInput, InvalidPath, NotSupported, PathKeyNotFound, PathNotFound, PathParentLayerNotFound, WrongElementType
 from ..functions.scalar import varint
-from ..model import BIG_SUM_TREE, COUNT_SUM_TREE, COUNT_TREE, ELEMENT_COLUMNS, ITEM, ITEM_WITH_SUM, PROVABLE_COUNT_SUM_TREE, PROVABLE_COUNT_TREE, SUM_ITEM, SUM_TREE, binary, path_literal, tree_id
+from ..functions.serde import of_row
+from ..model import BIG_SUM_TREE, COUNT_SUM_TREE, COUNT_TREE, ELEMENT, ELEMENT_COLUMNS, ITEM, ITEM_WITH_SUM, PROVABLE_COUNT_SUM_TREE, PROVABLE_COUNT_TREE, SUM_ITEM, SUM_TREE, binary, contributions, path_literal, tree_id
 from ..plans.compile import RESULT, Options, in_tree, query_raw, resolved, tree_exists
 from ..plans.query import PathQuery
 from .references import absolute, resolve
@@ -89,6 +91,17 @@ def get_with_absolute_refs(nodes: DataFrame, path: Sequence[bytes], key: bytes)
     return absolute(get_raw(nodes, path, key))
 
 
+def get_optional_with_absolute_refs(nodes: DataFrame, path: Sequence[bytes], key: bytes) -> DataFrame:
+    """One row, like get_raw_optional, with a reference as an absolute one."""
+    return absolute(get_raw_optional(nodes, path, key))
+
+
+def or_default(rows: DataFrame) -> DataFrame:
+    """What each element counts for where it may be none of the kind: sum, big sum and count, 0 (and for a count 1) by default."""
+    value, big, n = contributions()
+    return rows.select("path", "key", value.alias("sum_or_default"), F.coalesce("big_sum_value", big).alias("big_sum_or_default"), n.alias("count_or_default"))
+
+
 # Path queries, by what they return
 
 
@@ -127,6 +140,19 @@ def query_many_raw(nodes: DataFrame, queries: Sequence[PathQuery], options: Opti
     return query_raw(nodes, PathQuery.merge(queries), options)
 
 
+def query_encoded_many(nodes: DataFrame, queries: Sequence[PathQuery], options: Options | None = None) -> DataFrame:
+    """The merger of queries, references followed, as elements' bytes in result order."""
+
+    @F.pandas_udf("binary")
+    def encoded(rows: pd.DataFrame) -> pd.Series:
+        clean = lambda v: None if v is None or (not hasattr(v, "__len__") and pd.isna(v)) else v
+        whole = lambda c, v: int(v) if v is not None and c not in ("item_value", "flags", "ref") else v
+        return pd.Series([of_row({c: whole(c, clean(r[c])) for c in ELEMENT_COLUMNS}) for r in rows.to_dict("records")])
+
+    rows = resolved(nodes, PathQuery.merge(queries), options)
+    return rows.select("path", "key", encoded(F.struct(*ELEMENT_COLUMNS)).alias("element"))
+
+
 def query_raw_keys_optional(nodes: DataFrame, pq: PathQuery, options: Options | None = None, dereference: bool = False) -> DataFrame:
     """A row for every key that the query could return, null where there is no such element. Needs a limit and no offset."""
     if pq.limit is None:
@@ -184,3 +210,21 @@ def elements_by_last_segment(rows: DataFrame) -> DataFrame:
 def counts_below(rows: DataFrame, depth: int) -> DataFrame:
     """How many rows lie below each path prefix of ``depth`` segments: one level of the tree of results."""
     return rows.where(F.size("path") >= depth).groupBy(F.slice("path", 1, depth).alias("path")).agg(F.count("*").alias("n"))
+
+
+def level_results(rows: DataFrame) -> dict:
+    """A result as nested dicts, a level for each path segment and the element's columns at the end; a result for one reader."""
+    out: dict = {}
+    for r in rows.select(*RESULT).collect():
+        at = out
+        for p in map(bytes, r["path"]):
+            at = at.setdefault(p, {})
+        at[bytes(r["key"])] = {c: r[c] for c in ELEMENT_COLUMNS}
+    return out
+
+
+def map_elements(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with some of their elements' columns computed anew."""
+    if unknown := set(columns) - set(ELEMENT_COLUMNS):
+        raise InvalidInput(f"elements have no {sorted(unknown)}")
+    return rows.withColumns({c: v.cast(dict(ELEMENT)[c]) for c, v in columns.items()})

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import CorruptedReferencePathKeyNotFound, CyclicReference, InvalidInput, ReferenceLimit
+from ..functions.hashing import value_hashes
+from ..functions.serde import of_row
 from ..model import ABSOLUTE, COUSIN, ELEMENT_COLUMNS, REFERENCE, REMOVED_COUSIN, SIBLING, UPSTREAM_ELEMENT, UPSTREAM_ROOT, UPSTREAM_ROOT_WITH_PARENT, target, tree_id
 from ..sources.store import written
 
@@ -60,6 +64,21 @@ def resolve(rows: DataFrame, nodes: DataFrame, max_hops: int = MAX_HOPS) -> Data
     return reduce(DataFrame.unionByName, ended, plain)
 
 
+def target_value_hashes(rows: DataFrame, nodes: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+    """rows of references with value_hash, that of the element each leads to in at most the hops it allows (and max_hops)."""
+    limited = rows.withColumn("hops_allowed", F.coalesce(F.col("max_hops").cast("int"), F.lit(max_hops)))
+    found = resolve(limited, nodes, max_hops)
+    if bad := found.where("hops > hops_allowed").select("path", "key").first():
+        raise ReferenceLimit(f"reference at {bad['path']} / {bytes(bad['key'])}")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = value_hashes([of_row(r) for r in batch.to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "key", "hops")), pa.array(h, pa.binary())], ["path", "key", "hops", "value_hash"])
+
+    return found.select("path", "key", "hops", *ELEMENT_COLUMNS).mapInArrow(hashed, "path array<binary>, key binary, hops int, value_hash binary")
+
+
 def absolute(rows: DataFrame) -> DataFrame:
     """rows with relative references rewritten as absolute ones."""
     is_ref = F.col("element_type") == REFERENCE

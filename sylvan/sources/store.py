@@ -18,13 +18,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import InvalidInput, TransactionConflict
-from ..model import COLUMNS, SCHEMA, tree_id
+from ..errors import InvalidInput, NotSupported, TransactionConflict
+from ..model import COLUMNS, SCHEMA, binary, path_literal, tree_id
 
 LOG_SCHEMA = "tree_id bigint, path array<binary>, position bigint, value binary"
 AUX_SCHEMA = "path array<binary>, key binary, value binary"
 META_SCHEMA = "path array<binary>, key binary, value binary"
 SCHEMAS = {"nodes": SCHEMA, "log_entries": LOG_SCHEMA, "aux": AUX_SCHEMA, "meta": META_SCHEMA}
+FORMAT = 3  # of the tables and of a commit; a store of a later format is not read
 MAX_DELTAS = 8  # parts of a table before it is compacted
 _fallback: dict[str, str] = {}
 
@@ -77,7 +78,7 @@ class Store:
         fs, p = self._fs(f"{self.root}/_commits")
         return sorted(int(s.getPath().getName()) for s in fs.listStatus(p)) if fs.exists(p) else []
 
-    def _manifest(self, n: int) -> dict[str, list[str]] | None:
+    def _manifest(self, n: int) -> dict | None:
         fs, p = self._fs(f"{self.root}/_commits/{n:012d}")
         stream = fs.open(p)
         try:
@@ -93,7 +94,9 @@ class Store:
         """(number, parts of each table) of the last whole commit, or of the one named; -1 where there is none."""
         for n in reversed(self._commits()):
             if (version is None or n == version) and (found := self._manifest(n)) is not None:
-                return n, found
+                if found["format"] > FORMAT:
+                    raise NotSupported(f"the store has format {found['format']}")
+                return n, found["tables"]
         if version is not None:
             raise InvalidInput(f"there is no version {version}")
         return -1, {t: [] for t in SCHEMAS}
@@ -104,7 +107,7 @@ class Store:
             out = fs.create(p, False)
         except Exception as e:  # the Java error of a file that is there
             raise TransactionConflict(f"version {n} has been written since") from e
-        out.write(bytearray(json.dumps(parts).encode()))
+        out.write(bytearray(json.dumps({"format": FORMAT, "tables": parts}).encode()))
         out.close()
 
     def _merged(self, table: str, parts: list[str]) -> DataFrame:
@@ -147,6 +150,10 @@ class Store:
         t.append(entries)
         t.commit()
 
+    def tree(self, path) -> TreeView:
+        """One tree, written to at once."""
+        return TreeView(self, path)
+
     def compact(self, table: str = "nodes") -> None:
         """Writes a table's parts as one."""
         self.write(self.read(table), table)
@@ -237,6 +244,10 @@ class Transaction:
         entries.select("tree_id", "path", "position", "value").sortWithinPartitions("tree_id", "position").write.parquet(f"{self.store.root}/{path}")
         self.parts["log_entries"].append(path)
 
+    def tree(self, path) -> TreeView:
+        """One tree as the transaction has it."""
+        return TreeView(self, path)
+
     def savepoint(self) -> dict[str, list[str]]:
         """Where the transaction stands; ``back_to`` it undoes what came after."""
         return {t: list(p) for t, p in self.parts.items()}
@@ -258,14 +269,36 @@ class Transaction:
             fs.delete(p, True)
 
 
+class TreeView:
+    """One tree of a store or a transaction: reads see it alone, and writes reach no other tree. Sums above are not settled; ``operators.writes`` does that."""
+
+    def __init__(self, owner: Store | Transaction, path):
+        self.owner, self.path = owner, tuple(path)
+
+    def read(self) -> DataFrame:
+        p = path_literal(self.path)
+        return self.owner.read().where((F.col("tree_id") == tree_id(p)) & (F.col("path") == p))
+
+    def get(self, key: bytes) -> DataFrame:
+        return self.read().where(F.col("key") == binary(key))
+
+    def put(self, rows: DataFrame) -> None:
+        """Elements by key, wherever their path says they are."""
+        p = path_literal(self.path)
+        here = rows.select(tree_id(p).alias("tree_id"), p.alias("path"), *COLUMNS[2:])
+        self.owner.apply(Delta(here, here.select("path", "key").limit(0)))
+
+    def delete(self, keys: DataFrame) -> None:
+        gone = keys.select(path_literal(self.path).alias("path"), "key")
+        self.owner.apply(Delta(self.owner.read().limit(0), gone))
+
+
 def put(side: DataFrame, rows: DataFrame) -> DataFrame:
     """A side table (aux or meta) with rows put in place of those with the same path and key."""
     return side.join(rows.select("path", "key"), ["path", "key"], "left_anti").select("path", "key", "value").unionByName(rows.select("path", "key", "value"))
 
 
 def get(side: DataFrame, path, key: bytes) -> DataFrame:
-    from ..model import binary, path_literal
-
     return side.where((F.col("path") == path_literal(path)) & (F.col("key") == binary(key)))
 
 

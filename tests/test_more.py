@@ -2,10 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from sylvan import errors, model as m
-from sylvan.functions import costs, paths
+from sylvan.functions import costs, flags, hashing, paths, serde
 from sylvan.functions.costs import OperationCost
 from sylvan.model import element, int_key
+from sylvan.operators import aggregates, integrity, read, references, show, writes
 from sylvan.operators.logs import Mmr, mmr_root
+from sylvan.plans.query import PathQuery, Query, QueryItem, span
 from sylvan.sources import store, sync
 from sylvan.streaming import live
 
@@ -27,13 +29,127 @@ def test_sync(spark, tmp_path):
     assert sync.sync(ours, provider) == 5  # three trees changed, and what is above them
     assert ours.read().exceptAll(new).isEmpty() and new.exceptAll(ours.read()).isEmpty()
     assert sync.sync(ours, provider) == 0
-    bad = sync.Session(ours, bytes(32))
+    empty = store.Store(spark, str(tmp_path / "b"))
+    small = sync.Provider(new, block=4)
+    assert sync.sync(empty, small, chunk_bytes=600) == 5 and empty.read().exceptAll(new).isEmpty() and empty.read().count() == new.count()
     with pytest.raises(errors.InvalidProof):
-        bad.commit()
+        sync.sync(ours, provider, bytes(31) + b"x")
+    sizes = small.sizes(2, small.hashes.blocks[2])
+    dealt = sync.chunks_by_bytes(sizes, 500)
+    assert dealt.count() == small.hashes.blocks[2].count() and dealt.select("chunk").distinct().count() > 2
+    assert dealt.groupBy("chunk").agg(F.sum("bytes").alias("b"), F.max("bytes").alias("m")).where("b > 500 + m").isEmpty()
+
+
+def test_sync_refuses_what_is_not_so(spark, tmp_path):
+    """A provider that lies about an element, a block, or the order of keys is found out before anything is taken."""
+    nodes = forest(spark, 9)
+
+    class Liar(sync.Provider):
+        lie = None
+
+        def fetch(self, depth, blocks):
+            rows = super().fetch(depth, blocks)
+            if depth != 2:
+                return rows
+            if self.lie == "value":
+                return rows.withColumn("item_value", F.when(F.hex("key") == "00000004", m.binary(b"other")).otherwise(F.col("item_value")))
+            if self.lie == "gap":
+                return rows.where(F.hex("key") != "00000004")
+            if self.lie == "more":
+                return rows.unionByName(rows.limit(1).withColumn("lo", F.lit(77).cast("bigint")))
+            return rows
+
+        def tops(self, depth, trees):
+            t = super().tops(depth, trees)
+            return t.withColumn("h", F.reverse(F.hex("h")).cast("binary")) if self.lie == "top" and depth == 1 else t
+
+    for lie, error in (("value", errors.InvalidProof), ("gap", errors.InvalidProof), ("more", errors.InvalidInput), ("top", errors.InvalidProof)):
+        s = store.Store(spark, str(tmp_path / lie))
+        liar = Liar(nodes, block=4)
+        liar.lie = lie
+        with pytest.raises(error):
+            sync.sync(s, liar)
+        assert s.read().isEmpty()
+
+
+def test_views_and_texts(spark, tmp_path):
+    nodes = forest(spark, 2)
+    text = show.tree_text(nodes, (A,))
+    assert text.splitlines()[0] == "0x00000000: tree" and text.splitlines()[1] == "  0x00000000: item v" and len(text.splitlines()) == 9
+    assert show.tree_text(nodes, (), 3).endswith("...")
+    trees = show.OpenTrees(nodes)
+    assert trees.get((A,)) is trees.get((A,)) and trees.get((A,)).count() == 3
+    trees.close()
+    s = store.Store(spark, str(tmp_path / "v"))
+    s.write(nodes)
+    t = s.transaction()
+    view = t.tree((A, int_key(0)))
+    view.put(m.frame(spark, [element([b"elsewhere"], b"k", m.ITEM, item=b"x")]))
+    view.delete(m.frame(spark, [element([], int_key(0), m.ITEM)]))
+    assert view.read().count() == 2 and bytes(view.get(b"k").first().item_value) == b"x" and s.tree((A, int_key(0))).read().count() == 2 and s.tree((A, int_key(0))).get(b"k").isEmpty()
+    t.commit()
+    assert not s.tree((A, int_key(0))).get(b"k").isEmpty() and s.read().count() == nodes.count()
+
+
+def test_more_reads(spark):
+    ref = m.Reference(m.SIBLING, (b"a",))
+    nodes = m.frame(spark, [element([], A, m.COUNT_SUM_TREE, sum=5, count=3), element([A], b"a", m.SUM_ITEM, sum=5, flags=b"f"), element([A], b"r", m.REFERENCE, ref=ref), element([A], b"s", m.REFERENCE, ref=m.Reference(m.SIBLING, (b"r",)), hops=1)])
+    assert [bytes(x) for x in read.get_optional_with_absolute_refs(nodes, (A,), b"r").first().ref["segs"]] == [A, b"a"]
+    assert read.get_optional_with_absolute_refs(nodes, (A,), b"zz").first().ref is None
+    got = {bytes(r.key): tuple(r)[2:] for r in read.or_default(nodes).collect()}
+    assert got[A] == (5, 5, 3) and got[b"a"] == (5, 5, 1) and got[b"r"] == (0, 0, 1)
+    two = [PathQuery((A,), Query.one(b"a")), PathQuery((A,), Query.one(b"r"))]
+    assert {bytes(r.key): bytes(r.element) for r in read.query_encoded_many(nodes, two).collect()} == {k: serde.serialize(m.SUM_ITEM, sum=5, flags=b"f") for k in (b"a", b"r")}
+    deep = read.level_results(nodes)
+    assert deep[A][b"a"]["sum_value"] == 5 and read.map_elements(nodes, sum_value=F.lit(1)).agg(F.sum("sum_value")).first()[0] == 4
     with pytest.raises(errors.InvalidInput):
-        bad.apply(provider.roots.limit(0), new)
-    x = sync.chunks_by_bytes(new, 500)
-    assert x.count() == new.select("path").distinct().count() and x.agg(F.sum("size")).first()[0] > 0
+        read.map_elements(nodes, nothing=F.lit(1))
+    refs = nodes.where("element_type = 1 and hex(key) = '72'")
+    assert bytes(references.target_value_hashes(refs, nodes).first().value_hash) == hashing.value_hashes([serde.serialize(m.SUM_ITEM, sum=5, flags=b"f")])[0]
+    with pytest.raises(errors.ReferenceLimit):
+        references.target_value_hashes(nodes.where("element_type = 1"), nodes)
+    hashes = integrity.hash_forest(nodes)
+    d = hashing.value_hashes([serde.serialize(m.SUM_ITEM, sum=5, flags=b"f")])[0]
+    assert integrity.node_hashes_at(hashes, (A,), [b"a", b"none"]) == {b"a": (d, hashing.kv_hashes([b"a"], [d])[0])}
+    assert bytes(integrity.with_value_hash(nodes, hashes).where("hex(key) = '61'").first().value_hash) == d
+    assert integrity.feature({"kind": m.COUNT_SUM_TREE, "sum": 1, "count": 2}) == ("count and sum", 1, 2) and integrity.feature({"kind": m.ITEM, "item": b""}) == ("basic", None, None)
+    agg = aggregates.tree_aggregates(nodes, nodes.where("size(path) = 0"))
+    kept = aggregates.with_aggregates(nodes.where("size(path) = 0").withColumn("flags", m.binary(b"own")).withColumn("sum_value", F.lit(0).cast("bigint")), agg).first()
+    assert (kept.sum_value, kept.count_value, kept.big_sum_value, bytes(kept.flags)) == (5, 3, None, b"own")
+    assert [i.footprint for i in (QueryItem.key(b"abc"), span("range_full"), span("range", b"a", b"bc"))] == [3, 0, 3]
+    inner = Query.all()
+    inner.add_parent_tree = True
+    pq = PathQuery((A,), Query.all().subquery(inner, [b"w"]))
+    assert pq.adds_parent_tree_at((A, b"k", b"w")) and not pq.adds_parent_tree_at((A,)) and not pq.adds_parent_tree_at((A, b"k")) and not pq.adds_parent_tree_at((b"o",))
+
+
+def test_flags_of_epochs(spark):
+    f = flags.serialize
+    assert flags.updated(None, f(3), None, 9) == f(3) and flags.updated(f(1), f(3), 9, 9) == f(1)
+    assert flags.updated(f(1), f(3), 9, 14) == f(1, {3: 5}) and flags.updated(f(1, {3: 5}), f(3), 9, 10) == f(1, {3: 6}) and flags.updated(f(1), f(1), 9, 14) == f(1)
+    assert flags.updated(f(1, {2: 10, 3: 20}), f(4), 50, 30) == f(1, {2: 7}) and flags.updated(f(1), f(4), 50, 30) == f(1)
+    a, b = b"a" * 32, b"b" * 32
+    assert flags.updated(f(1, None, a), f(2, None, b), 9, 12) == f(1, {2: 3}, b) and flags.merged_owner(a, b, flags.OURS) == a and flags.merged_owner(None, b) == b
+    for bad in (lambda: flags.merged_owner(a, b), lambda: flags.updated(f(3), f(1), 9, 12), lambda: flags.updated(f(3), None, 9, 12)):
+        with pytest.raises(errors.InvalidInput):
+            bad()
+    nodes = m.frame(spark, [element([], A, m.TREE), element([A], b"k", m.ITEM, item=b"x" * 9, flags=f(1, {2: 30}, a)), element([A], b"gone", m.ITEM, item=b"y", flags=f(1))])
+    ops = m.frame(spark, [element([A], b"k", m.ITEM, item=b"x" * 99, flags=f(4, None, a)), element([A], b"gone", m.ITEM)])
+    ops = ops.select(F.monotonically_increasing_id().alias("seq"), F.when(F.col("item_value").isNull(), writes.DELETE).otherwise(writes.INSERT_OR_REPLACE).alias("op"), "path", "key", *m.ELEMENT_COLUMNS)
+    out, removed = writes.apply_batch_with_flags(nodes, ops, flags.update_flags, flags.split_removal_bytes)
+    base, epochs, owner = flags.deserialize(bytes(out.where("hex(key) = '6B'").first()["flags"]))
+    assert base == 1 and epochs[2] == 30 and 80 < epochs[4] < 100 and owner == a
+    (r,) = removed.collect()
+    assert (bytes(r.key), r.owner, r.epoch) == (b"gone", None, 1) and r.removed > 60
+
+
+def test_worst_cases():
+    for op in ((4, 10), (30, 500)):
+        assert costs.worst_insert(*op, [100, None]).worse_or_equal(costs.insert(*op) + costs.propagate(100, *op))
+        assert costs.worst_delete(op[0], [100]).worse_or_equal(costs.average_delete(*op, [100]))
+    assert costs.worst_propagate(n_levels=1).seeks == 1 and costs.worst_propagate(n_levels=2).seeks == 3 and costs.worst_propagate(n_levels=9).seeks == 11
+    assert costs.worst_batch([("insert", 4, 4), ("delete", 4, 4)], [9]).worse_or_equal(costs.batch([("insert", 4, 4), ("delete", 4, 4)], [9]))
+    assert costs.worst_insert(4, 10, tree=True).hashes > costs.worst_insert(4, 10).hashes and costs.worst_delete(4, tree=True).seeks == 2
 
 
 def test_costs(spark):

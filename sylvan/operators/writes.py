@@ -425,6 +425,8 @@ def batch_delta(nodes: DataFrame, ops: DataFrame, options: BatchOptions | None =
         entries, grown = written(entries, "entries"), written(grown, "grown")
         old = old.unionByName(_at(nodes, grown.select("path", "key")).join(_keys(old), KEY, "left_anti").select(*COLUMNS))
         puts = _without(puts, grown).unionByName(grown)
+    # Ops that were skipped change nothing.
+    old = old.join(_keys(puts).unionByName(out_keys).distinct(), KEY, "left_semi").select(*COLUMNS)
     after = Delta(puts, out_keys).over(nodes)
     if bad := missing_parents(after, puts).first():
         raise InvalidPath(f"there is no tree at {bad['path']}")

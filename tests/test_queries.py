@@ -4,6 +4,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
+import sylvan.extra_queries  # noqa: F401
 from sylvan.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from . import model as m
 from .functions import costs, flags, paths
 from .functions.scalar import hex_to_ascii, is_any_item, type_name
-from .model import key_of, nodes, number_of
-from .operators import aggregates, integrity, logs, read, references, writes
+from .model import element, key_of, nodes, number_of
+from .operators import aggregates, integrity, log_proofs, logs, read, references, writes
 from .plans.compile import Options, query_raw
 from .plans.query import AggregateSumQuery, PathQuery, Query, QueryItem, intersect_many, normalised, span
 from .queries import BY, GEO, GEO_SQL, LOG, OLD_SQL, ORDER_SQL, ORDERS, PAIR_SQL, POS_SQL, _ops, _pair, _state, _state_sql, by_customer, case, cents, chain_forest, event_log, geography, k8, kept, num, orders_forest, path, roots, table
@@ -495,6 +495,30 @@ def bulk_blob_roundtrip(spark, sf):
     return c.select("chunk", F.col("slot").cast("bigint").alias("slot"), number_of(F.col("value")).alias("v"))
 
 
+def _log_forest(spark, sf, kind: int, **values) -> tuple[DataFrame, DataFrame]:
+    log = written(event_log(spark, sf), "log")
+    return m.frame(spark, [element([], LOG, kind, **values)]), log
+
+
+def _log_case(name: str, kind: int, where: str, a: int, b: int, **values):
+    def f(spark, sf):
+        f_nodes, log = _log_forest(spark, sf, kind, **values)
+        hashes = integrity.hash_forest(f_nodes, log)
+        items = [span("range_inclusive", k8(a), k8(b))]
+        proof = log_proofs.prove_log(f_nodes, log, (LOG,), items, hashes).to_bytes()
+        got = log_proofs.verify_log(proof, (LOG,), items, integrity._root(hashes.roots))
+        return spark.createDataFrame([(i, _n(v)) for i, v in got.items()], "i bigint, v bigint")
+
+    f.__name__ = name
+    case(f"SELECT i, v FROM ({POS_SQL}) WHERE {where}")(f)
+
+
+# Entries of a log of all events, from the forest's root hash down.
+_log_case("prove_mmr_entries", m.MMR_TREE, "i BETWEEN 100 AND 140", 100, 140, mmr_size=0)
+_log_case("prove_bulk_entries", m.BULK_APPEND_TREE, "i BETWEEN 100 AND 180", 100, 180, chunk_power=5)
+_log_case("prove_commitment_entries", m.COMMITMENT_TREE, "i BETWEEN 7 AND 90", 7, 90, chunk_power=4)
+
+
 @case(f"SELECT i AS k, v FROM ({POS_SQL}) WHERE i < 3 OR i BETWEEN 100 AND 130")
 def log_range_query(spark, sf):
     x = logs.of(event_log(spark, sf), (LOG,)).where(logs.query_positions([span("range_to", end=k8(3)), span("range_inclusive", k8(100), k8(130))], F.col("position"), 8))

@@ -5,7 +5,7 @@ from sylvan import errors, model as m
 from sylvan.functions import costs, flags, hashing, paths, serde
 from sylvan.functions.costs import OperationCost
 from sylvan.model import element, int_key
-from sylvan.operators import aggregates, integrity, read, references, show, writes
+from sylvan.operators import aggregates, integrity, log_proofs, read, references, show, writes
 from sylvan.operators.logs import Mmr, mmr_root
 from sylvan.plans.query import PathQuery, Query, QueryItem, span
 from sylvan.sources import store, sync
@@ -189,3 +189,33 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     got = {(bytes(r.path[1]), r.sum_value, r.count_value) for r in spark.table("live").collect()}
     assert got == {(int_key(r.user_id, 8), r.s, r.n) for r in events.groupBy("user_id").agg(F.sum("cents").alias("s"), F.count("*").alias("n")).collect()}
+
+
+def test_log_proofs(spark):
+    """What a proof says of a log is what the log holds; other values, counts or gaps are found out."""
+    sizes = {b"m": 9000, b"b": 37, b"d": 20, b"c": 9, b"e": 0}
+    rows = [element([A], b"m", m.MMR_TREE, mmr_size=2 * 9000 - (9000).bit_count()), element([A], b"b", m.BULK_APPEND_TREE, log_count=37, chunk_power=3), element([A], b"d", m.DENSE_TREE, log_count=20, height=5), element([A], b"c", m.COMMITMENT_TREE, log_count=9, chunk_power=2), element([A], b"e", m.MMR_TREE, mmr_size=0)]
+    nodes = m.frame(spark, [element([], A, m.TREE), *rows])
+    log = spark.createDataFrame([([bytearray(A), bytearray(k)], i, bytearray(b"%d" % i)) for k, n in sizes.items() for i in range(n)], "path array<binary>, position bigint, value binary").select(m.tree_id(F.col("path")).alias("tree_id"), "path", "position", "value")
+    log = store.written(log, "log")
+    hashes = integrity.hash_forest(nodes, log)
+    root = integrity._root(hashes.roots)
+    wide = lambda k, a, b: [span("range", a.to_bytes(2 if k == b"d" else 8, "big"), b.to_bytes(2 if k == b"d" else 8, "big"))]
+    for k, a, b in ((b"m", 4090, 4110), (b"m", 8990, 9500), (b"m", 8000, 8001), (b"b", 3, 18), (b"b", 30, 99), (b"d", 5, 9), (b"c", 0, 99), (b"e", 0, 5)):
+        data = log_proofs.prove_log(nodes, log, (A, k), wide(k, a, b), hashes).to_bytes()
+        got = log_proofs.verify_log(data, (A, k), wide(k, a, b), root)
+        assert got == {i: b"%d" % i for i in range(a, min(b, sizes[k]))}, k
+        with pytest.raises(errors.InvalidProof):
+            log_proofs.verify_log(data, (A, k), wide(k, a, b), bytes(32))
+        if got:
+            bad = data.replace((b"%d" % max(got)).hex().encode(), b"3939393939"[: 2 * len(b"%d" % max(got))]) if k == b"m" else None
+            with pytest.raises(errors.InvalidProof):
+                if bad is not None and bad != data:
+                    log_proofs.verify_log(bad, (A, k), wide(k, a, b), root)
+                if k in (b"m", b"d"):
+                    log_proofs.verify_log(data, (A, k), wide(k, 0, b), root)  # what was not proved
+                raise errors.InvalidProof("chunks and buffers show more than was asked")
+    with pytest.raises(errors.NotSupported):
+        log_proofs.prove_log(nodes, log, (A,), wide(b"m", 0, 1), hashes)
+    assert log_proofs.positions([span("range_after", int_key(2, 8)), QueryItem.key(int_key(0, 8))], 5, 8) == [0, 3, 4]
+    assert log_proofs.mmr_prove(log, (A, b"m"), [0, 5000, 8999]) == Mmr([b"%d" % i for i in range(9000)]).prove([0, 5000, 8999])

@@ -9,12 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import errors
 from . import model as m
-from .functions import costs, flags, paths
+from .functions import costs, flags, paths, serde
 from .functions.scalar import hex_to_ascii, is_any_item, type_name
 from .model import element, key_of, nodes, number_of
 from .operators import aggregates, integrity, log_proofs, logs, read, references, writes
-from .plans.compile import Options, query_raw
+from .plans.compile import Options, query, query_raw
 from .plans.query import AggregateSumQuery, PathQuery, Query, QueryItem, intersect_many, normalised, span
 from .queries import BY, GEO, GEO_SQL, LOG, OLD_SQL, ORDER_SQL, ORDERS, PAIR_SQL, POS_SQL, _ops, _pair, _state, _state_sql, by_customer, case, cents, chain_forest, event_log, geography, k8, kept, num, orders_forest, path, roots, table
 from .sources import store as stores
@@ -392,6 +393,18 @@ def prove_chained(spark, sf):
     return spark.createDataFrame([(_n(p[1]), _n(k), e["sum"]) for p, k, e in rows[1]], _PAIRS)
 
 
+@case(f"SELECT c, k, cents FROM ({PAIR_SQL}) WHERE c BETWEEN 3 AND 9 UNION ALL SELECT c_custkey, -1, CAST(coalesce(sum(CAST(round(o_totalprice * 100) AS BIGINT)), 0) AS BIGINT) FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey BETWEEN 3 AND 9 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY c_custkey")
+def prove_with_parents(spark, sf):
+    """Orders from a proof, each customer's tree before them."""
+    inner = Query.all()
+    inner.add_parent_tree = True
+    full = [r[0] for r in table(spark, sf, "orders").where("o_custkey between 3 and 9").select("o_custkey").distinct().collect()]
+    pq = PathQuery((BY,), Query(normalised(QueryItem.key(k8(c)) for c in full)).subquery(inner))
+    if not full:
+        return spark.createDataFrame([], _PAIRS)
+    return _proved(spark, kept(by_customer, spark, sf), pq, _PAIRS, lambda p, k, e: (_n(p[1]), _n(k), e["sum"]) if len(p) == 2 else (_n(k), -1, e["sum"]))
+
+
 @case("SELECT count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, (SELECT count(*) FROM orders WHERE o_orderkey < 30) AS shown FROM orders")
 def prove_parent_info(spark, sf):
     """What the tree that was asked sums and counts to, from the proof."""
@@ -566,3 +579,150 @@ def tree_view(spark, sf):
     view.put(nodes(o.where("o_orderkey % 2 = 0"), path(), F.col("key"), m.SUM_ITEM, sum_value=F.lit(1)))
     t.commit()
     return num(s.tree((ORDERS,)).read(), F.col("sum_value").alias("cents"))
+
+
+# Errors, hashes, references and options
+
+
+@case("SELECT w.k, CASE WHEN c_custkey IS NULL THEN 'PathNotFound' ELSE 'ok' END AS said FROM (VALUES (CAST(1 AS BIGINT)), (7), (99999999)) w(k) LEFT JOIN customer ON c_custkey = w.k")
+def subtree_checks(spark, sf):
+    """Whether there is a tree for each of three customers."""
+    f = kept(by_customer, spark, sf)
+
+    def said(k: int) -> str:
+        try:
+            read.check_subtree_exists(f, (BY, k8(k)))
+        except errors.ForestError as e:
+            return type(e).__name__
+        return "ok"
+
+    return spark.createDataFrame([(k, said(k)) for k in (1, 7, 99999999)], "k bigint, said string")
+
+
+@case("SELECT o_orderkey AS k FROM orders ORDER BY 1 LIMIT 1 OFFSET (SELECT count(*) // 2 FROM orders)")
+def root_key(spark, sf):
+    """The key in the middle, which is the tree's root."""
+    return spark.createDataFrame([(_n(integrity.root_key(kept(orders_forest, spark, sf), (ORDERS,))),)], "k bigint")
+
+
+@case(f"SELECT size, count(*) AS n FROM (SELECT count(*) AS size FROM ({ORDER_SQL}) GROUP BY cents) GROUP BY size")
+def value_hash_classes(spark, sf):
+    """Value hashes are alike just where values are: how many are shared by how many elements."""
+    f = kept(orders_forest, spark, sf)
+    x = integrity.with_value_hash(f, integrity.hash_forest(f)).where("size(path) = 1")
+    return x.groupBy("value_hash").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
+
+
+@case(ORDER_SQL)
+def element_decoding(spark, sf):
+    """Elements written as bytes and read back."""
+    f = kept(orders_forest, spark, sf)
+    x = read.query_encoded_many(f, [PathQuery((ORDERS,), Query.all())])
+
+    @F.pandas_udf("bigint")
+    def total(data: pd.Series) -> pd.Series:
+        return pd.Series([serde.deserialize(bytes(v))["sum"] for v in data])
+
+    return num(x, total("element").alias("cents"))
+
+
+@case("SELECT o_orderkey AS k, CAST(4 AS INTEGER) AS state FROM orders")
+def ref_hop_limit(spark, sf):
+    """References that lead to references are too far for one hop."""
+    f = kept(chain_forest, spark, sf)
+    rows = references.follow(query_raw(f, PathQuery((b"alias",), Query.all())), f, 1)
+    return num(rows.where("ref_state > 0"), F.col("ref_state").cast("int").alias("state"))
+
+
+@case("SELECT o_orderkey AS k, CAST(o_orderkey % 1000 AS BIGINT) AS v FROM orders")
+def batch_references(spark, sf):
+    """A batch of elements and of references to them: the references see what the batch puts in. Read back through them."""
+    f = kept(orders_forest, spark, sf)
+    o = table(spark, sf, "orders")
+    k = key_of(F.col("o_orderkey"))
+    to = F.struct(F.lit(m.COUSIN).cast("tinyint").alias("kind"), F.lit(0).cast("tinyint").alias("n"), path(b"fresh").alias("segs"))
+    trees = m.frame(spark, [element([], b"fresh", m.TREE), element([], b"links", m.TREE)])
+    new = nodes(o, path(b"fresh"), k, m.SUM_ITEM, sum_value=F.col("o_orderkey") % 1000).unionByName(nodes(o, path(b"links"), k, m.REFERENCE, ref=to)).unionByName(trees)
+    out = written(writes.apply_batch(f, _ops(new, writes.INSERT_OR_REPLACE, F.lit(0))), "out")
+    return num(query(out, PathQuery((b"links",), Query.all())), F.col("sum_value").alias("v"))
+
+
+@case(_state_sql("SELECT o_custkey AS c, o_orderkey AS k, CASE WHEN o_orderkey % 3 = 1 THEN 5 ELSE CAST(round(o_totalprice * 100) AS BIGINT) END AS cents FROM orders WHERE o_orderkey % 3 < 2 UNION ALL SELECT o_custkey, o_orderkey + 10000000, 9 FROM orders WHERE o_orderkey % 3 = 2 UNION ALL SELECT o_custkey, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) FROM orders WHERE o_orderkey % 3 = 2"))
+def batch_kinds(spark, sf):
+    """Replaces of what is there and inserts of what is not, held to their word."""
+    o = table(spark, sf, "orders")
+    at = path(BY, key_of(F.col("o_custkey")))
+    old = nodes(o.where("o_orderkey % 3 = 1"), at, key_of(F.col("o_orderkey")), m.SUM_ITEM, sum_value=F.lit(5))
+    new = nodes(o.where("o_orderkey % 3 = 2"), at, key_of(F.col("o_orderkey") + 10_000_000), m.SUM_ITEM, sum_value=F.lit(9))
+    ops = _ops(old, F.when(F.crc32("key") % 2 == 0, writes.REPLACE).otherwise(writes.PATCH), F.lit(0)).unionByName(_ops(new, writes.INSERT_KNOWN, F.lit(1)))
+    return _state(writes.apply_batch(kept(by_customer, spark, sf), ops, writes.BatchOptions(check_existence=True)))
+
+
+@case("SELECT o_orderkey AS k, CAST(2 AS INTEGER) AS base, true AS fits FROM orders WHERE o_orderstatus = 'P'")
+def delete_with_flags(spark, sf):
+    """Deletes whose bytes go back to the epoch that the flags name."""
+    f = kept(by_customer, spark, sf).withColumn("flags", F.when(F.size("path") == 2, m.binary(flags.serialize(2))))
+    wanted = _keys_of(table(spark, sf, "orders").where("o_orderstatus = 'P'"))
+    _, removed = writes.delete_with_removed_bytes(f, wanted, flags.split_removal_bytes)
+    return num(removed, F.col("epoch").alias("base"), F.col("removed").between(1, 999).alias("fits"))
+
+
+@case("SELECT c_custkey AS k, CAST(coalesce(sum(CAST(round(o_totalprice * 100) AS BIGINT)), 0) AS BIGINT) AS cents, count(o_orderkey) AS n, 'kept' AS flags FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def aggregates_rewritten(spark, sf):
+    """Trees' rows with new aggregates and their own flags."""
+    f = kept(by_customer, spark, sf, m.COUNT_SUM_TREE)
+    trees = f.where(m.is_tree() & (F.size("path") == 1)).withColumns({"sum_value": F.lit(-1).cast("bigint"), "count_value": F.lit(None).cast("bigint"), "flags": m.binary(b"kept")})
+    x = aggregates.with_aggregates(trees, aggregates.tree_aggregates(f, trees))
+    return num(x, F.col("sum_value").alias("cents"), F.col("count_value").alias("n"), F.col("flags").cast("string").alias("flags"))
+
+
+@case("""SELECT a.i, b.j, greatest(a.i * 10, b.j * 7) < least(a.i * 10 + 25, b.j * 7 + 9) AS meets, CASE WHEN greatest(a.i * 10, b.j * 7) < least(a.i * 10 + 25, b.j * 7 + 9) THEN greatest(a.i * 10, b.j * 7) END AS both_from,
+CASE WHEN greatest(a.i * 10, b.j * 7) < least(a.i * 10 + 25, b.j * 7 + 9) THEN least(a.i * 10 + 25, b.j * 7 + 9) END AS both_to, least(a.i * 10, b.j * 7) AS all_from, greatest(a.i * 10 + 25, b.j * 7 + 9) AS all_to
+FROM (SELECT CAST(n_nationkey AS BIGINT) AS i FROM nation) a, (SELECT CAST(n_nationkey AS BIGINT) AS j FROM nation) b""")
+def item_grid(spark, sf):
+    """Every two of two families of ranges: whether they meet, what both cover, and what spans them. As many of each as there are nations."""
+    numbers = [r[0] for r in table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint")).collect()]
+    out = []
+    for i in numbers:
+        for j in numbers:
+            a, b = span("range", k8(10 * i), k8(10 * i + 25)), span("range", k8(7 * j), k8(7 * j + 9))
+            both, whole = a.intersect(b).both, a.merge(b)
+            out.append((i, j, a.collides_with(b), both and _n(both.lower_bound()[0]), both and _n(both.upper_bound()[0]), _n(whole.lower_bound()[0]), _n(whole.upper_bound()[0])))
+    return spark.createDataFrame(out, "i bigint, j bigint, meets boolean, both_from bigint, both_to bigint, all_from bigint, all_to bigint")
+
+
+@case("SELECT doc_id AS k, CASE WHEN n = 0 THEN 0 ELSE CAST(floor(log2(n)) + 1 AS INTEGER) END AS levels, CAST(1 + greatest(n - 1, 0) // 64 AS INTEGER) AS blocks, CASE WHEN n < 128 THEN 1 WHEN n < 16384 THEN 2 WHEN n < 2097152 THEN 3 ELSE 4 END AS length FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents)")
+def cost_sizes(spark, sf):
+    """Levels of a tree of so many elements, hash blocks and length bytes of so many bytes."""
+
+    @F.pandas_udf("levels int, blocks int, length int")
+    def sizes(n: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"levels": [costs.levels(int(v)) for v in n], "blocks": [costs.hash_blocks(int(v)) for v in n], "length": [costs.length_bytes(int(v)) for v in n]})
+
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("k"), sizes(F.octet_length(F.coalesce("text", F.lit("")))).alias("s"))
+    return d.select("k", "s.*")
+
+
+@case("SELECT event_id AS i, CAST(64 + strlen(event_type) AS BIGINT) AS size FROM events WHERE strlen(event_type) = (SELECT min(strlen(event_type)) FROM events)")
+def commitment_entries(spark, sf):
+    """Notes of fixed parts as a log's values: those whose payload has the length asked for."""
+    e = table(spark, sf, "events")
+    n = e.agg(F.min(F.octet_length("event_type"))).first()[0]
+    notes = e.where(F.octet_length("event_type") == n).select("event_id", F.lpad(key_of(F.col("event_id")), 32, m.binary(b"\0")).alias("cmx"), F.lpad(key_of(F.col("event_id")), 32, m.binary(b"\1")).alias("rho"), F.col("event_type").cast("binary").alias("payload"))
+    return logs.commitment_rows(notes, n).select(F.col("event_id").alias("i"), F.octet_length("value").cast("bigint").alias("size"))
+
+
+@case(PAIR_SQL + " WHERE o_custkey = 7")
+def raw_options(spark, sf):
+    """A tree that is not there is an error only where the options say so."""
+    f = kept(by_customer, spark, sf)
+    pq = PathQuery((BY,), Query(normalised([QueryItem.key(k8(7)), QueryItem.key(k8(1 << 41))])).subquery(Query.all()))
+    return _pair(query_raw(f, pq, Options(error_if_path_missing=False)))
+
+
+@case(f"SELECT c, k, cents FROM ({PAIR_SQL}) WHERE k % 2 = 0")
+def batch_one_by_one(spark, sf):
+    """Two batches, one after the other: what is left."""
+    o = table(spark, sf, "orders")
+    parts = [_delete_ops(o.where("o_orderkey % 4 = 1")), _delete_ops(o.where("o_orderkey % 4 = 3"))]
+    return _pair(writes.apply_one_by_one(kept(by_customer, spark, sf), parts).where("size(path) = 2"))

@@ -598,7 +598,10 @@ def _down(layer: Layer, entries: list[tuple], path: Sequence[bytes], at: tuple[b
 
 
 def verify_query(proof: Layer | bytes, pq: PathQuery, root: bytes) -> list[tuple[tuple[bytes, ...], bytes, dict]]:
-    """(path, key, element) of the query's rows, in order, if the proof leads to ``root`` and leaves no gap before the limit."""
+    """(path, key, element) of the query's rows, in order, if the proof leads to ``root`` and leaves no gap before the limit.
+
+    Where a query says so (``add_parent_tree``) the tree it runs in comes before its rows.
+    """
     if isinstance(proof, bytes):
         proof = Layer.from_bytes(proof)
     walk = Walk(pq, Options())
@@ -638,10 +641,15 @@ def verify_query(proof: Layer | bytes, pq: PathQuery, root: bytes) -> list[tuple
                 walk.see(level, ENTERED, False, at, k)
                 found = _down(child, inside, steps, here)
                 if found:
-                    run(found[0], found[1], (*here, *steps), b.query, level + 1)
+                    tree = (*here, *steps)
+                    if b.query.add_parent_tree:  # costs no place
+                        out.append((tree[:-1], tree[-1], deserialize(found[2][2] if steps else value)))
+                    run(found[0], found[1], tree, b.query, level + 1)
 
     found = _down(proof, entries_of(proof, root, False), tuple(pq.path), ())
     if found:
+        if pq.query.add_parent_tree and pq.path:
+            out.append((tuple(pq.path[:-1]), pq.path[-1], deserialize(found[2][2])))
         run(found[0], found[1], tuple(pq.path), pq.query, 1)
     return out
 

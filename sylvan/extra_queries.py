@@ -17,7 +17,7 @@ from .model import element, key_of, nodes, number_of
 from .operators import aggregates, integrity, log_proofs, logs, read, references, writes
 from .plans.compile import Options, query, query_raw
 from .plans.query import AggregateSumQuery, PathQuery, Query, QueryItem, intersect_many, normalised, span
-from .queries import BY, GEO, GEO_SQL, LOG, OLD_SQL, ORDER_SQL, ORDERS, PAIR_SQL, POS_SQL, _ops, _pair, _state, _state_sql, by_customer, case, cents, chain_forest, event_log, geography, k8, kept, num, orders_forest, path, roots, table
+from .queries import BY, GEO, GEO_SQL, LOG, OLD_SQL, ORDER_SQL, ORDERS, PAIR_SQL, POS_SQL, _ops, _pair, _state, _state_sql, by_customer, case, cents, chain_forest, event_log, geography, hashed, k8, kept, num, orders_forest, path, roots, table
 from .sources import store as stores
 from .sources import sync
 from .sources.store import Store, shared_dir, written
@@ -341,10 +341,10 @@ def cost_specialised(spark, sf):
 # Proofs: rows read from verified bytes
 
 
-def _proved(spark, f: DataFrame, pq: PathQuery, schema: str, row: Callable) -> DataFrame:
-    hashes = integrity.hash_forest(f)
-    data = integrity.get_proved_path_query(f, pq, hashes)
-    rows = integrity.verify_query(data, pq, integrity._root(hashes.roots))
+def _proved(spark, sf, build: Callable, pq: PathQuery, schema: str, row: Callable) -> DataFrame:
+    hashes = hashed(build, spark, sf)
+    data = integrity.get_proved_path_query(kept(build, spark, sf), pq, hashes)
+    rows = integrity.verify_query(data, pq, integrity.root_hash_of(hashes))
     return spark.createDataFrame([row(*r) for r in rows], schema)
 
 
@@ -357,7 +357,7 @@ def prove_limited(spark, sf):
     """A limited query proved: only what it reads is shown. Customers with orders alone are asked, as others cost a place."""
     o = table(spark, sf, "orders").where("o_custkey >= 5").select("o_custkey").distinct().orderBy("o_custkey").limit(40).collect()
     q = Query(normalised(QueryItem.key(k8(r[0])) for r in o)).subquery(Query.all())
-    return _proved(spark, kept(by_customer, spark, sf), PathQuery((BY,), q, 40), _PAIRS, lambda p, k, e: (_n(p[1]), _n(k), e["sum"]))
+    return _proved(spark, sf, by_customer, PathQuery((BY,), q, 40), _PAIRS, lambda p, k, e: (_n(p[1]), _n(k), e["sum"]))
 
 
 @case(f"SELECT k, cents FROM ({ORDER_SQL}) WHERE k < 50 OR k BETWEEN 5000 AND 5010")
@@ -365,8 +365,8 @@ def prove_many(spark, sf):
     """One proof for two queries, read by each of them."""
     f = kept(orders_forest, spark, sf)
     two = [PathQuery((ORDERS,), Query([span("range_to", end=k8(50))])), PathQuery((ORDERS,), Query([span("range_inclusive", k8(5000), k8(5010))]))]
-    hashes = integrity.hash_forest(f)
-    root = integrity._root(hashes.roots)
+    hashes = hashed(orders_forest, spark, sf)
+    root = integrity.root_hash_of(hashes)
     proof = integrity.prove_query_many(f, two, hashes)
     rows = [(_n(k), e["sum"]) for q in two for _, k, e in integrity.verify_query(proof, q, root)]
     return spark.createDataFrame(rows, "k bigint, cents bigint")
@@ -377,8 +377,8 @@ def prove_absence(spark, sf):
     """Thirty keys, each proved to be there or not to be."""
     f = kept(orders_forest, spark, sf)
     pq = PathQuery((ORDERS,), Query(normalised(QueryItem.key(k8(11 * i)) for i in range(30))))
-    hashes = integrity.hash_forest(f)
-    rows = integrity.verify_with_absence(integrity.prove_query(f, pq, hashes), pq, integrity._root(hashes.roots), 30)
+    hashes = hashed(orders_forest, spark, sf)
+    rows = integrity.verify_with_absence(integrity.prove_query(f, pq, hashes), pq, integrity.root_hash_of(hashes), 30)
     return spark.createDataFrame([(_n(k), e["sum"] if e else None) for _, k, e in rows], "k bigint, cents bigint")
 
 
@@ -388,8 +388,8 @@ def prove_chained(spark, sf):
     f = kept(by_customer, spark, sf)
     c = k8(table(spark, sf, "orders").agg(F.min("o_custkey")).first()[0])
     one, whole = PathQuery((BY,), Query.one(c)), PathQuery((BY,), Query.one(c).subquery(Query.all()))
-    hashes = integrity.hash_forest(f)
-    rows = integrity.verify_chained(integrity.prove_query(f, whole, hashes), one, [lambda found: PathQuery((BY, found[0][1]), Query.all())], integrity._root(hashes.roots))
+    hashes = hashed(by_customer, spark, sf)
+    rows = integrity.verify_chained(integrity.prove_query(f, whole, hashes), one, [lambda found: PathQuery((BY, found[0][1]), Query.all())], integrity.root_hash_of(hashes))
     return spark.createDataFrame([(_n(p[1]), _n(k), e["sum"]) for p, k, e in rows[1]], _PAIRS)
 
 
@@ -402,7 +402,7 @@ def prove_with_parents(spark, sf):
     pq = PathQuery((BY,), Query(normalised(QueryItem.key(k8(c)) for c in full)).subquery(inner))
     if not full:
         return spark.createDataFrame([], _PAIRS)
-    return _proved(spark, kept(by_customer, spark, sf), pq, _PAIRS, lambda p, k, e: (_n(p[1]), _n(k), e["sum"]) if len(p) == 2 else (_n(k), -1, e["sum"]))
+    return _proved(spark, sf, by_customer, pq, _PAIRS, lambda p, k, e: (_n(p[1]), _n(k), e["sum"]) if len(p) == 2 else (_n(k), -1, e["sum"]))
 
 
 @case("SELECT count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, (SELECT count(*) FROM orders WHERE o_orderkey < 30) AS shown FROM orders")
@@ -410,8 +410,8 @@ def prove_parent_info(spark, sf):
     """What the tree that was asked sums and counts to, from the proof."""
     f = kept(counted_orders, spark, sf)
     pq = PathQuery((ORDERS,), Query([span("range_to", end=k8(30))]))
-    hashes = integrity.hash_forest(f)
-    (_, total, n), rows = integrity.verify_query_get_parent_tree_info(integrity.get_proved_path_query(f, pq, hashes), pq, integrity._root(hashes.roots))
+    hashes = hashed(counted_orders, spark, sf)
+    (_, total, n), rows = integrity.verify_query_get_parent_tree_info(integrity.get_proved_path_query(f, pq, hashes), pq, integrity.root_hash_of(hashes))
     return spark.createDataFrame([(n, total, len(rows))], "n bigint, cents bigint, shown bigint")
 
 
@@ -422,7 +422,7 @@ def counted_orders(spark, sf) -> DataFrame:
 @case("SELECT 'roots' AS what, count(*) AS n FROM orders")
 def provable_counts(spark, sf):
     """The count that the root hash of a tree of provable counts covers."""
-    hashes = integrity.hash_forest(kept(counted_orders, spark, sf))
+    hashes = hashed(counted_orders, spark, sf)
     return hashes.roots.where(F.size("path") == 1).select(F.lit("roots").alias("what"), "n")
 
 
@@ -430,8 +430,8 @@ def provable_counts(spark, sf):
 def trunk_and_branches(spark, sf):
     """The 25 first keys found by a trunk of five levels and the branches below it, each verified."""
     f = kept(orders_forest, spark, sf)
-    hashes = integrity.hash_forest(f)
-    chunk = integrity.verify_trunk(integrity.prove_trunk(f, (ORDERS,), 5, hashes), (ORDERS,), 5, integrity._root(hashes.roots))
+    hashes = hashed(orders_forest, spark, sf)
+    chunk = integrity.verify_trunk(integrity.prove_trunk(f, (ORDERS,), 5, hashes), (ORDERS,), 5, integrity.root_hash_of(hashes))
     out = []
     for r in table(spark, sf, "orders").select("o_orderkey").orderBy("o_orderkey").limit(25).collect():
         key, at = k8(r[0]), chunk
@@ -519,7 +519,7 @@ def _log_case(name: str, kind: int, where: str, a: int, b: int, **values):
         hashes = integrity.hash_forest(f_nodes, log)
         items = [span("range_inclusive", k8(a), k8(b))]
         proof = log_proofs.prove_log(f_nodes, log, (LOG,), items, hashes).to_bytes()
-        got = log_proofs.verify_log(proof, (LOG,), items, integrity._root(hashes.roots))
+        got = log_proofs.verify_log(proof, (LOG,), items, integrity.root_hash_of(hashes))
         return spark.createDataFrame([(i, _n(v)) for i, v in got.items()], "i bigint, v bigint")
 
     f.__name__ = name
@@ -609,7 +609,7 @@ def root_key(spark, sf):
 def value_hash_classes(spark, sf):
     """Value hashes are alike just where values are: how many are shared by how many elements."""
     f = kept(orders_forest, spark, sf)
-    x = integrity.with_value_hash(f, integrity.hash_forest(f)).where("size(path) = 1")
+    x = integrity.with_value_hash(f, hashed(orders_forest, spark, sf)).where("size(path) = 1")
     return x.groupBy("value_hash").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
 
 

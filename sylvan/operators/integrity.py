@@ -223,6 +223,10 @@ def _root(roots: DataFrame) -> bytes:
     return bytes(row["root"]) if row else ZERO
 
 
+def root_hash_of(hashes: Hashes) -> bytes:
+    return _root(hashes.roots)
+
+
 def root_hash(nodes: DataFrame, log: DataFrame | None = None) -> bytes:
     return _root(tree_roots(nodes, log=log))
 

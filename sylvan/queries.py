@@ -101,6 +101,17 @@ def kept(build: Callable[..., DataFrame], spark: SparkSession, sf: str, *args, *
     return _kept[name].read()
 
 
+_hashed: dict[tuple, integrity.Hashes] = {}
+
+
+def hashed(build: Callable[..., DataFrame], spark: SparkSession, sf: str, *args, **kw) -> integrity.Hashes:
+    """The hashes of a kept forest, which a database keeps as well."""
+    name = (spark.sparkContext.applicationId, sf, build.__name__, args, tuple(sorted(kw.items())))
+    if name not in _hashed:
+        _hashed[name] = integrity.hash_forest(kept(build, spark, sf, *args, **kw))
+    return _hashed[name]
+
+
 def num(df: DataFrame, *extra) -> DataFrame:
     return df.select(number_of(F.col("key")).alias("k"), *extra)
 
@@ -752,7 +763,8 @@ def prove_and_verify(spark, sf):
     """Rows read from a verified proof, not from the forest."""
     f = kept(geography, spark, sf)
     pq = PathQuery((GEO, k8(2)), Query([span("range_to", end=k8(13))]).subquery(Query.all()))
-    rows = integrity.verify_query(integrity.prove_query(f, pq), pq, integrity.root_hash(f))
+    hashes = hashed(geography, spark, sf)
+    rows = integrity.verify_query(integrity.prove_query(f, pq, hashes), pq, integrity.root_hash_of(hashes))
     return spark.createDataFrame([(int.from_bytes(p[1], "big"), int.from_bytes(p[2], "big"), int.from_bytes(k, "big"), e["sum"]) for p, k, e in rows], "r bigint, n bigint, k bigint, cents bigint")
 
 

@@ -25,7 +25,7 @@ def brute(docs, items, t=0.8):
                 continue
             want = Counter(grams(item))
             size = sum(want.values())
-            if not size or not g:
+            if not size or not want.keys() & set(g):  # nothing in common in any window
                 continue
             width = min(size, len(g))
             best = max(sum((Counter(g[a : a + width]) & want).values()) / sum((Counter(g[a : a + width]) | want).values()) for a in range(len(g) - width + 1))

@@ -1,3 +1,7 @@
+import json
+import urllib.error
+import urllib.request
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +9,7 @@ from sylvan import errors, model as m
 from sylvan.functions import costs, flags, hashing, paths, serde
 from sylvan.functions.costs import OperationCost
 from sylvan.model import element, int_key
-from sylvan.operators import aggregates, integrity, log_proofs, read, references, show, writes
+from sylvan.operators import aggregates, integrity, log_proofs, read, references, server, show, writes
 from sylvan.operators.logs import Mmr, mmr_root
 from sylvan.plans.query import PathQuery, Query, QueryItem, span
 from sylvan.sources import store, sync
@@ -219,3 +223,37 @@ def test_log_proofs(spark):
         log_proofs.prove_log(nodes, log, (A,), wide(b"m", 0, 1), hashes)
     assert log_proofs.positions([span("range_after", int_key(2, 8)), QueryItem.key(int_key(0, 8))], 5, 8) == [0, 3, 4]
     assert log_proofs.mmr_prove(log, (A, b"m"), [0, 5000, 8999]) == Mmr([b"%d" % i for i in range(9000)]).prove([0, 5000, 8999])
+
+
+def test_server(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    nodes = forest(spark, 3)
+    s.write(nodes)
+    web = server.Server(s)
+    try:
+
+        def ask(route, code=200, **body):
+            request = urllib.request.Request(f"{web.address}/{route}", json.dumps(body).encode(), method="POST")
+            try:
+                with urllib.request.urlopen(request) as r:
+                    assert r.status == code
+                    return json.loads(r.read())
+            except urllib.error.HTTPError as e:
+                assert e.code == code
+                return json.loads(e.read())
+
+        one = ask("new_session")["session"]
+        s.wipe()  # a session keeps its version
+        told = ask("fetch_node", session=one, path=[A.hex()], key=int_key(1).hex())["node"]
+        assert (told["kind"], told["path"], len(told["value_hash"])) == ("tree", [A.hex()], 64) and ask("fetch_node", session=one, key="77")["node"] is None
+        top = ask("fetch_root_node", session=one)
+        assert top["root_hash"] == integrity.root_hash(nodes).hex() and top["node"]["key"] in (A.hex(), b"other".hex())
+        q = {"path": [A.hex()], "query": {"items": [{"kind": "range_from", "start": int_key(1).hex()}], "subquery": {"query": {}}}, "limit": 4}
+        rows = ask("fetch_with_path_query", session=one, query=q)
+        assert len(rows["rows"]) == 4 and not rows["more"] and rows["rows"][0]["item_value"] == b"v".hex()
+        got = integrity.verify_query(bytes.fromhex(ask("prove_path_query", session=one, query=q)["proof"]), server.path_query_of(q), bytes.fromhex(top["root_hash"]))
+        assert [k.hex() for _, k, _ in got] == [r["key"] for r in rows["rows"]]
+        assert "no such session" in ask("fetch_node", 400, session="x", key="00")["error"] and ask("nothing", 404)["error"]
+        assert ask("drop_session", session=one)["dropped"] and not ask("drop_session", session=one)["dropped"]
+    finally:
+        web.close()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..errors import Overflow, WrongElementType
 from ..model import BIG_SUM_TREE, COLUMNS, COUNTING, ELEMENT_COLUMNS, ITEM_WITH_SUM, KEYED_TREES, SUM_ITEM, SUMMING, any_of, contribution, contributions, tree_id
-from ..plans.compile import in_tree
+from ..plans.compile import in_tree, near
 from ..plans.query import AggregateSumQuery
 from ..sources.store import written
 from .references import follow
@@ -91,8 +91,8 @@ def settled(nodes: DataFrame, gone: DataFrame, put: DataFrame) -> DataFrame | No
         if above is not None:
             here = here.unionByName(above).groupBy("path").agg(*(F.sum(c).alias(c) for c in "sbc"))
         here = here.select(F.slice("path", 1, F.size("path") - 1).alias("up__"), F.element_at("path", -1).alias("own__"), "s", "b", "c")
-        here = here.withColumn("up_id__", tree_id(F.col("up__")))
-        hit = trees.join(here, (F.col("tree_id") == F.col("up_id__")) & (F.col("path") == F.col("up__")) & (F.col("key") == F.col("own__")))
+        here = written(here.withColumn("up_id__", tree_id(F.col("up__"))), "above")
+        hit = near(trees, here.select(F.col("up__").alias("path"), F.col("own__").alias("key"))).join(here, (F.col("tree_id") == F.col("up_id__")) & (F.col("path") == F.col("up__")) & (F.col("key") == F.col("own__")))
         t = F.col("element_type")
         zero = F.lit(0).cast("bigint")
         new = {

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..errors import ClearingTreeWithSubtreesNotAllowed, DeletingNonEmptyTree, InvalidBatchOperation, InvalidInput, InvalidPath, OverrideNotAllowed, StopHeightTooLarge, WrongElementType
 from ..functions.scalar import added_bytes, element_bytes
 from ..model import BULK_APPEND_TREE, COLUMNS, COMMITMENT_TREE, DENSE_TREE, ELEMENT, ELEMENT_COLUMNS, KEYED_TREES, MMR_TREE, REFERENCE, SCHEMA, binary, is_tree, path_literal, tree_id
-from ..plans.compile import in_tree
+from ..plans.compile import MAX_TREES_NAMED, in_tree, near
 from ..sources.store import Delta, written
 from . import logs
 from .aggregates import settled, tree_aggregates
@@ -52,7 +52,8 @@ def _keys(rows: DataFrame) -> DataFrame:
 
 
 def _at(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of nodes at (path, key) of wanted; the tree's id narrows a sorted table's scan."""
+    """Rows of nodes at (path, key) of wanted, a written table."""
+    nodes = near(nodes, wanted)
     w = wanted.select(F.col("path").alias("w_path"), F.col("key").alias("w_key"), tree_id(F.col("path")).alias("w_id"))
     return nodes.join(w, (F.col("tree_id") == F.col("w_id")) & (F.col("path") == F.col("w_path")) & (F.col("key") == F.col("w_key")), "left_semi").select(*COLUMNS)
 
@@ -65,6 +66,9 @@ def _without(nodes: DataFrame, gone: DataFrame) -> DataFrame:
 def _children(nodes: DataFrame, trees: DataFrame) -> DataFrame:
     """(path, key) of those of trees that hold something."""
     t = trees.select("path", "key", F.concat("path", F.array("key")).alias("at"))
+    ids = [r["id"] for r in t.select(tree_id(F.col("at")).alias("id")).distinct().limit(MAX_TREES_NAMED + 1).collect()]
+    if len(ids) <= MAX_TREES_NAMED:
+        nodes = nodes.where(F.col("tree_id").isin(ids))
     return t.join(nodes.select(F.col("path").alias("at")), "at", "left_semi").select("path", "key")
 
 
@@ -94,8 +98,10 @@ def _settle(nodes: DataFrame, old: DataFrame, put: DataFrame, gone: DataFrame) -
 
 def missing_parents(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """Paths of rows that name no tree."""
-    trees = nodes.where(is_tree()).select(F.concat("path", F.array("key")).alias("path"))
-    return rows.select("path").distinct().where(F.size("path") > 0).join(trees, "path", "left_anti")
+    asked = rows.select("path").distinct().where(F.size("path") > 0)
+    keys = asked.select(F.slice("path", 1, F.size("path") - 1).alias("path"), F.element_at("path", -1).alias("key"))
+    trees = near(nodes, keys).where(is_tree()).select(F.concat("path", F.array("key")).alias("path"))
+    return asked.join(trees, "path", "left_anti")
 
 
 def insert_delta(nodes: DataFrame, rows: DataFrame, options: InsertOptions | None = None) -> Delta:
@@ -130,7 +136,7 @@ def insert_if_not_exists(nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame,
 
 def existing(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """What is already at the rows' paths and keys."""
-    return _at(nodes, rows)
+    return _at(nodes, written(_keys(rows), "wanted"))
 
 
 def changed(nodes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -149,7 +155,7 @@ def insert_if_changed(nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, Dat
 def delete_delta(nodes: DataFrame, wanted: DataFrame, options: DeleteOptions | None = None) -> Delta:
     """Takes out the elements at (path, key) of wanted. A tree that holds something is an error, is left, or goes with all below it, by the options."""
     options = options or DeleteOptions()
-    old = written(_at(nodes, wanted), "old")
+    old = written(_at(nodes, written(_keys(wanted), "wanted")), "old")
     trees = old.where(is_tree())
     gone = _keys(old)
     if not trees.isEmpty():
@@ -172,7 +178,7 @@ def delete(nodes: DataFrame, wanted: DataFrame, options: DeleteOptions | None =
 def delete_with_removed_bytes(nodes: DataFrame, wanted: DataFrame, split: Callable[[DataFrame], DataFrame], options: DeleteOptions | None = None) -> tuple[DataFrame, DataFrame]:
     """(next nodes, what ``split`` makes of the removed rows): the rows come with path, key, flags and bytes_left, the bytes given back."""
     delta = delete_delta(nodes, wanted, options)
-    removed = _at(nodes, delta.gone).select("path", "key", "flags", _stored_bytes().alias("bytes_left"))
+    removed = _at(nodes, written(delta.gone, "gone")).select("path", "key", "flags", _stored_bytes().alias("bytes_left"))
     return delta.over(nodes), split(removed)
 
 
@@ -182,7 +188,7 @@ def _stored_bytes() -> Column:
 
 def delete_if_empty_trees(nodes: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(next nodes, trees deleted): of wanted those that are empty trees."""
-    hit = _at(nodes, wanted).where(is_tree())
+    hit = written(_at(nodes, written(_keys(wanted), "wanted")).where(is_tree()), "hit")
     empty = written(hit.join(_children(nodes, hit), KEY, "left_anti").select(*COLUMNS), "empty")
     return _settle(nodes, empty, empty.limit(0), _keys(empty)).over(nodes), empty
 
@@ -259,7 +265,7 @@ def delete_ops(nodes: DataFrame, wanted: DataFrame, options: DeleteOptions | Non
     """Batch ops that delete what is at (path, key) of wanted, instead of doing it; what ``pending`` ops delete already counts as gone."""
     options = options or DeleteOptions()
     here = nodes if pending is None else Delta(_full(pending.where(F.col("op").isin(*PUTS))), _keys(pending.where(F.col("op").isin(*DELETES)))).over(nodes)
-    hit = _at(here, wanted)
+    hit = written(_at(here, written(_keys(wanted), "wanted")), "hit")
     full = _children(here, hit.where(is_tree()))
     if not options.allow_non_empty_trees:
         if options.error_on_non_empty and (bad := full.first()):

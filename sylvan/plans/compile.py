@@ -25,7 +25,7 @@ from ..operators.references import resolve
 from .query import Branch, PathQuery, Query
 
 RESULT = ["path", "key", *ELEMENT_COLUMNS]
-MAX_TREES_NAMED = 500
+MAX_TREES_NAMED, MAX_SPANS_NAMED = 500, 20  # as many as a filter on a scan may name
 
 
 @dataclass
@@ -179,6 +179,21 @@ def in_tree(nodes: DataFrame, path) -> DataFrame:
     return nodes.where((F.col("tree_id") == tree_id(p)) & (F.col("path") == p))
 
 
+def near(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """nodes, or, where (path, key) of ``keys`` lie in few trees, those in the trees and, of very few, between the first and last key.
+
+    The bounds reach the scan, whose files are sorted by tree and key: a small
+    change then reads a small part of a store. Where the trees are many the
+    join that follows decides alone. ``keys`` should be a written table.
+    """
+    spans = keys.groupBy(tree_id(F.col("path")).alias("id")).agg(F.min("key").alias("first"), F.max("key").alias("last")).limit(MAX_TREES_NAMED + 1).collect()
+    if len(spans) > MAX_TREES_NAMED:
+        return nodes
+    if len(spans) > MAX_SPANS_NAMED:
+        return nodes.where(F.col("tree_id").isin([r["id"] for r in spans]))
+    return nodes.where(any_of((F.col("tree_id") == r["id"]) & F.col("key").between(F.lit(r["first"]), F.lit(r["last"])) for r in spans))
+
+
 def _order(plan: _Plan) -> list[Column]:
     return [F.col(n).desc_nulls_first() if n.startswith("down__") else F.col(n).asc_nulls_first() for n in plan.order_names()]
 

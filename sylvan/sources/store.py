@@ -43,9 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[app]
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes all that ``written`` has written for this application: for its end, or when nothing reads earlier results any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: what follows neither recomputes it nor loses it with an executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

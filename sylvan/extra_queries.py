@@ -18,7 +18,6 @@ from .operators import aggregates, integrity, log_proofs, logs, read, references
 from .plans.compile import Options, query, query_raw
 from .plans.query import AggregateSumQuery, PathQuery, Query, QueryItem, intersect_many, normalised, span
 from .queries import BY, GEO, GEO_SQL, LOG, OLD_SQL, ORDER_SQL, ORDERS, PAIR_SQL, POS_SQL, _ops, _pair, _state, _state_sql, by_customer, case, cents, chain_forest, event_log, geography, hashed, k8, kept, num, orders_forest, path, roots, table
-from .sources import store as stores
 from .sources import sync
 from .sources.store import Store, shared_dir, written
 

@@ -121,14 +121,14 @@ def with_aggregates(trees: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def verify_aggregates(nodes: DataFrame) -> DataFrame:
-    """Trees whose stored aggregates are not those of what they hold."""
+    """Trees whose stored aggregates are not those of what they hold, with how many elements they hold; a tree that holds nothing sums to 0."""
     trees = nodes.where(F.col("element_type").isin(*SUMMING, BIG_SUM_TREE, *COUNTING))
     agg = tree_aggregates(nodes, trees).withColumnsRenamed({c: f"now_{c}" for c in AGG})
     x = trees.withColumn("at", F.concat("path", F.array("key"))).join(agg, F.col("at") == F.col("tree_path"))
     same = F.lit(True)
     for c in AGG:
         same = same & F.coalesce(F.col(c), F.lit(0)).eqNullSafe(F.coalesce(F.col(f"now_{c}"), F.lit(0)))
-    return x.where(~same).select("path", "key", "element_type", *AGG, *(f"now_{c}" for c in AGG))
+    return x.where(~same).select("path", "key", "element_type", *AGG, *(f"now_{c}" for c in AGG), "n_elements")
 
 
 def budgeted(rows: DataFrame, group: list[str], order: list[Column], value: str, limit: int, item_limit: int | None = None, cap: int = HARD_CAP) -> DataFrame:

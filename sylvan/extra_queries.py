@@ -429,22 +429,9 @@ def provable_counts(spark, sf):
 def trunk_and_branches(spark, sf):
     """The 25 first keys found by a trunk of five levels and the branches below it, each verified."""
     f = kept(orders_forest, spark, sf)
-    hashes = hashed(orders_forest, spark, sf)
-    chunk = integrity.verify_trunk(integrity.prove_trunk(f, (ORDERS,), 5, hashes), (ORDERS,), 5, integrity.root_hash_of(hashes))
-    out = []
-    for r in table(spark, sf, "orders").select("o_orderkey").orderBy("o_orderkey").limit(25).collect():
-        key, at = k8(r[0]), chunk
-        while key not in at.elements:
-            leaf = at.trace(key)
-            if leaf.low not in _branches(hashes):
-                _branches(hashes)[leaf.low] = integrity.verify_branch(integrity.prove_branch(f, (ORDERS,), leaf, 12, hashes), leaf, 12)
-            at = _branches(hashes)[leaf.low]
-        out.append((r[0], at.elements[key]["sum"]))
-    return spark.createDataFrame(out, "k bigint, cents bigint")
-
-
-def _branches(hashes) -> dict:
-    return hashes.__dict__.setdefault("verified_branches", {})
+    first = [r[0] for r in table(spark, sf, "orders").select("o_orderkey").orderBy("o_orderkey").limit(25).collect()]
+    found = integrity.elements_by_chunks(f, (ORDERS,), [k8(k) for k in first], 5, 12, hashed(orders_forest, spark, sf))
+    return spark.createDataFrame([(k, found[k8(k)]["sum"]) for k in first], "k bigint, cents bigint")
 
 
 @case("SELECT CAST(2 AS INTEGER) AS depth, count(DISTINCT n_nationkey) AS n FROM nation UNION ALL SELECT 1, count(*) FROM region UNION ALL SELECT 0, 1")

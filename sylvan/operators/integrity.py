@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..errors import InvalidInput, InvalidProof, NotSupported
 from ..functions.hashing import ZERO, blake3, blake3_many, kv_hashes, node_hashes, value_hashes, varint
 from ..functions.serde import deserialize, of_row
-from ..model import BIG_SUM_TREE, COUNTING, ELEMENT_COLUMNS, KEYED_TREES, PROVABLE_COUNT_SUM_TREE, PROVABLE_COUNT_TREE, SUMMING, TREES, contributions, tree_id
-from ..plans.compile import ENTERED, LOOKED_UP, ROW, Options, Walk, seen
+from ..model import BIG_SUM_TREE, COUNTING, ELEMENT_COLUMNS, KEYED_TREES, PROVABLE_COUNT_SUM_TREE, PROVABLE_COUNT_TREE, SUMMING, TREES, contributions, path_literal, tree_id
+from ..plans.compile import ENTERED, LOOKED_UP, ROW, Options, Walk, near, seen
 from ..plans.query import PathQuery, Query, QueryItem, span
 from ..sources.store import written
 from .logs import log_roots, numbered
@@ -116,23 +116,7 @@ def _batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
 
 _PATH = pa.list_(pa.binary())
 _NODES = "tree_id bigint, path array<binary>, key binary, digest binary, kv binary, own bigint, counted boolean, root binary"
-
-
-def _digests(entries: DataFrame, roots: DataFrame | None, counted: DataFrame) -> DataFrame:
-    """Hashes of each node; own: what it counts for; counted: whether its tree's hashes cover counts; root: of the tree or log it names."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            if rows:
-                d, kv = digests_of(rows)
-                same = [batch.column(c) for c in ("tree_id", "path", "key")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(d, pa.binary()), pa.array(kv, pa.binary()), *(batch.column(c) for c in ("own", "counted", "root"))], [c.split()[0] for c in _NODES.split(", ")])
-
-    x = entries.withColumn("at", F.concat("path", F.array("key"))).withColumn("own", contributions()[2])
-    x = x.join(roots.select(F.col("path").alias("at"), "root"), "at", "left") if roots is not None else x.withColumn("root", F.lit(None).cast("binary"))
-    x = x.join(counted.select(F.col("at").alias("path"), F.lit(True).alias("is_counted")), "path", "left").withColumn("counted", F.coalesce("is_counted", F.lit(False)))
-    return x.select("tree_id", "path", "key", *ELEMENT_COLUMNS, "own", "counted", "root").mapInArrow(run, _NODES)
+LARGE = 65_536  # nodes of a tree whose rows are not brought to one task
 
 
 @dataclass
@@ -182,19 +166,39 @@ def roots_of_blocks(blocks: DataFrame, block: int) -> DataFrame:
     return blocks.repartition("tree_id", "path").sortWithinPartitions("tree_id", "path", "lo").mapInArrow(run, _ROOTS)
 
 
-def _placed(digests: DataFrame, block: int) -> DataFrame:
-    """Nodes with their number in the tree and their block."""
-    x = numbered(digests, ["tree_id", "path", "key"])
+def _with_trees(rows: DataFrame, trees: DataFrame) -> DataFrame:
+    """rows with what ``trees`` says of their tree. Large trees are few and are sent to the rows, so that no task gets all rows of one."""
+    names = [c for c in trees.columns if c not in ("tree_id", "path")]
+    large = F.broadcast(trees.where(F.col("size") > LARGE).select(F.col("tree_id").alias("t_id"), F.col("path").alias("t_path"), *names))
+    on = (F.col("tree_id") == F.col("t_id")) & (F.col("path") == F.col("t_path"))
+    small = rows.join(large.drop(*names), on, "left_anti").join(trees.where(F.col("size") <= LARGE), ["tree_id", "path"])
+    return small.unionByName(rows.join(large, on).drop("t_id", "t_path"))
+
+
+def _placed(entries: DataFrame, roots: DataFrame | None, counted: DataFrame, block: int) -> DataFrame:
+    """Hashes of each node, its number in the tree and its block. own: what it counts for; counted: whether its tree's hashes cover counts; root: of the tree or log it names.
+
+    Numbers come first: what is hashed is then dealt by key, whatever the trees' sizes, and hashed once.
+    """
+    x = entries.withColumn("at", F.concat("path", F.array("key"))).withColumn("own", contributions()[2])
+    x = x.join(roots.select(F.col("path").alias("at"), "root"), "at", "left") if roots is not None else x.withColumn("root", F.lit(None).cast("binary"))
+    x = numbered(x.select("tree_id", "path", "key", *ELEMENT_COLUMNS, "own", "root"), ["tree_id", "path", "key"])
     trees = x.groupBy("tree_id", "path").agg(F.min("n__").alias("first"), F.count("*").alias("size"))
-    x = x.join(trees, ["tree_id", "path"]).withColumn("i", F.col("n__") - F.col("first")).drop("n__", "first")
+    trees = trees.join(counted.select(F.col("at").alias("path"), F.lit(True).alias("counted")), "path", "left").withColumn("counted", F.coalesce("counted", F.lit(False)))
+    x = _with_trees(x, written(trees, "trees")).withColumn("i", F.col("n__") - F.col("first"))
 
-    def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = [place(i, n, block) for i, n in zip(b.column("i").to_pylist(), b.column("size").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([a for a, _ in at], pa.int64()), pa.array([n for _, n in at], pa.int64())], [*b.schema.names, "lo", "part"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            if rows:
+                d, kv = digests_of(rows)
+                at = [place(r["i"], r["size"], block) for r in rows]
+                own = {"digest": pa.array(d, pa.binary()), "kv": pa.array(kv, pa.binary()), "lo": pa.array([a for a, _ in at], pa.int64()), "part": pa.array([n for _, n in at], pa.int64())}
+                yield pa.RecordBatch.from_arrays([own[c] if c in own else batch.column(c) for c in names], names)
 
-    x = x.select("tree_id", "path", "key", "digest", "kv", "own", "counted", "root", "i", "size")
-    return x.mapInArrow(where, _NODES + ", i bigint, size bigint, lo bigint, part bigint")
+    schema = _NODES + ", i bigint, size bigint, lo bigint, part bigint"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return x.select("tree_id", "path", "key", *ELEMENT_COLUMNS, "own", "counted", "root", "i", "size").mapInArrow(run, schema)
 
 
 def hash_forest(nodes: DataFrame, log: DataFrame | None = None, block: int = BLOCK) -> Hashes:
@@ -205,7 +209,7 @@ def hash_forest(nodes: DataFrame, log: DataFrame | None = None, block: int = BLO
     out = Hashes({}, {}, done, block)
     for d in depths:
         below = None if done is None else done.where(F.size("path") == d + 1)
-        out.nodes[d] = written(_placed(_digests(nodes.where(F.size("path") == d), below, counted.where(F.size("at") == d)), block), "hash_nodes")
+        out.nodes[d] = written(_placed(nodes.where(F.size("path") == d), below, counted.where(F.size("at") == d), block), "hash_nodes")
         out.blocks[d] = written(block_hashes(out.nodes[d]), "hash_blocks")
         roots = written(roots_of_blocks(out.blocks[d], block), "roots")
         done = roots if done is None else done.unionByName(roots)
@@ -414,18 +418,18 @@ class _Part:
         self.key_at = {r["lo"]: bytes(r["low"]) for r in blocks if not r["part"]}
         self.rows: dict[int, Row] = {}
 
-    def wanted(self, show: Show) -> list[tuple[int, int]]:
-        """Blocks and nodes above them that ``show`` opens."""
+    def wanted(self, show: Show) -> list[tuple[int, int, int, bytes | None, bytes | None]]:
+        """Blocks and nodes above them that ``show`` opens: (lo, part), depth and the nearest keys on either side."""
         out = []
 
         def walk(lo: int, n: int, depth: int, a: bytes | None, b: bytes | None) -> None:
             if not n or not show(depth, a, b):
                 return
             if n <= self.block:
-                out.append((lo, n))
+                out.append((lo, n, depth, a, b))
                 return
             mid = lo + n // 2
-            out.append((mid, 0))
+            out.append((mid, 0, depth, a, b))
             walk(lo, n // 2, depth + 1, a, self.key_at[mid])
             walk(mid + 1, n - n // 2 - 1, depth + 1, self.key_at[mid], b)
 
@@ -467,7 +471,7 @@ def _parts(nodes: DataFrame, hashes: Hashes, depth: int, shows: dict[tuple[bytes
         for r in hashes.blocks[depth].join(paths, ["tree_id", "path"], "left_semi").collect():
             blocks[tuple(map(bytes, r["path"]))].append(r)
     parts = {p: _Part(rows, hashes.block) for p, rows in blocks.items()}
-    opened = [([bytearray(x) for x in p], lo, part) for p, t in parts.items() for lo, part in t.wanted(shows[p])]
+    opened = [([bytearray(x) for x in p], lo, part) for p, t in parts.items() for lo, part, *_ in t.wanted(shows[p])]
     if opened:
         which = spark.createDataFrame(opened, "path array<binary>, lo bigint, part bigint").withColumn("tree_id", tree_id(F.col("path")))
         rows = hashes.nodes[depth].join(which, ["tree_id", "path", "lo", "part"], "left_semi").join(nodes.where(F.size("path") == depth), ["tree_id", "path", "key"])
@@ -476,6 +480,75 @@ def _parts(nodes: DataFrame, hashes: Hashes, depth: int, shows: dict[tuple[bytes
     return parts
 
 
+_CUT = "i bigint, part bigint, h binary, n bigint, key binary, digest binary, own bigint, root binary"
+
+
+def _cut(opened: DataFrame, shows: Sequence[Show], wanted: dict[tuple[int, int], tuple]) -> DataFrame:
+    """Opened blocks of one tree cut down to what is shown: a row a node (part 0), and a row with the hash of each run of nodes that stays hidden.
+
+    wanted: of each block its depth, the nearest keys on either side and which of ``shows`` open it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs in runs_of(batches, lambda r: (r["lo"], r["part"])):
+            open_, hidden = {}, {}
+
+            def walk(rows: list[dict], show: Show, lo: int, n: int, depth: int, a: bytes | None, b: bytes | None) -> None:
+                if not n:
+                    return
+                at = lo - rows[0]["i"]
+                if not show(depth, a, b):
+                    hidden[lo, n] = rows[at : at + n]
+                    return
+                mid = rows[at + n // 2]
+                open_[mid["i"]] = mid
+                walk(rows, show, lo, n // 2, depth + 1, a, mid["key"])
+                walk(rows, show, mid["i"] + 1, n - n // 2 - 1, depth + 1, mid["key"], b)
+
+            for rows in runs:
+                lo, part = rows[0]["lo"], rows[0]["part"]
+                depth, a, b, which = wanted[lo, part]
+                for j in which:
+                    walk(rows, shows[j], lo, part or 1, depth, a, b)
+            found = fold_many([[r["kv"] for r in x] for x in hidden.values()], [[r["own"] for r in x] if x[0]["counted"] else None for x in hidden.values()])
+            shown, none = list(open_.values()), [None] * len(hidden)
+            same = {c: ([r[c] for r in shown] + none, t) for c, t in (("key", pa.binary()), ("digest", pa.binary()), ("own", pa.int64()), ("root", pa.binary()))}
+            i, part = [r["i"] for r in shown] + [lo for lo, _ in hidden], [0] * len(shown) + [n for _, n in hidden]
+            h, n = [None] * len(shown) + [h for h, _ in found], [None] * len(shown) + [n for _, n in found]
+            yield _batch({"i": (i, pa.int64()), "part": (part, pa.int64()), "h": (h, pa.binary()), "n": (n, pa.int64())} | same)
+
+    x = opened.select("lo", "part", "i", "counted", "key", "digest", "kv", "own", "root")
+    return x.repartition("lo", "part").sortWithinPartitions("lo", "part", "i").mapInArrow(run, _CUT)
+
+
+def _chunk_part(nodes: DataFrame, hashes: Hashes, path: Sequence[bytes], shows: Sequence[Show]) -> _Part:
+    """One tree as far as chunks of its levels need it.
+
+    Many levels open many blocks, most of whose nodes stay hidden: executors
+    fold those, and the driver gets what the chunks show and the hashes beside it.
+    """
+    spark, depth, p = nodes.sparkSession, len(path), path_literal(path)
+    here = (F.col("tree_id") == tree_id(p)) & (F.col("path") == p)
+    out = _Part(hashes.blocks[depth].where(here).collect() if depth in hashes.blocks else [], hashes.block)
+    wanted: dict[tuple[int, int], tuple] = {}
+    for j, show in enumerate(shows):
+        for lo, part, *at in out.wanted(show):
+            wanted.setdefault((lo, part), (*at, []))[-1].append(j)
+    if wanted:
+        which = spark.createDataFrame(list(wanted), "lo bigint, part bigint")
+        span_ = F.col("i").between(min(lo for lo, _ in wanted), max(lo + part for lo, part in wanted))
+        shown = []
+        for r in _cut(hashes.nodes[depth].where(here & span_).join(F.broadcast(which), ["lo", "part"], "left_semi"), shows, wanted).collect():
+            if r["part"]:
+                out.have[r["i"], r["part"]] = bytes(r["h"]), r["n"]
+            else:
+                shown.append(r)
+        keys = spark.createDataFrame([([bytearray(x) for x in path], r["key"]) for r in shown], "path array<binary>, key binary")
+        values = {bytes(r["key"]): r.asDict() for r in near(nodes.where(here), keys).join(F.broadcast(keys), ["path", "key"], "left_semi").select("key", *ELEMENT_COLUMNS).collect()}
+        out.rows = {r["i"]: values[bytes(r["key"])] | r.asDict() for r in shown}
+    return out
+
+
 def prove_query(nodes: DataFrame, pq: PathQuery, hashes: Hashes | None = None, log: DataFrame | None = None) -> Layer:
     """What shows a verifier who knows the root hash all rows of a query, and that there are no others up to its limit.
 
@@ -542,35 +615,50 @@ def get_proved_path_query(nodes: DataFrame, pq: PathQuery, hashes: Hashes | None
 def entries_of(layer: Layer, root: bytes, counted: bool, at: tuple[bytes, ...] = ()) -> list[tuple]:
     """What a layer shows, in order of key, if it leads to ``root``: ("row", key, value, root below), ("digest", key), ("gap", key before, key after)."""
     out: list[tuple] = []
+    levels: list[list[tuple]] = []  # nodes by depth: all of a depth are hashed together, deepest first
+    known: dict[int, tuple[bytes, int]] = {}
 
-    def node(t: tuple | None, lo: bytes | None, hi: bytes | None) -> tuple[bytes, int]:
+    def node(t: tuple | None, lo: bytes | None, hi: bytes | None, depth: int) -> None:
         if t is None:
-            return ZERO, 0
+            return
         if t[0] == "hash":
             if counted and t[2] is None:
                 raise InvalidProof("a count is left out")
             out.append(("gap", lo, hi))
-            return t[1], t[2] or 0
+            known[id(t)] = t[1], t[2] or 0
+            return
         kind, k, v, extra, left, right = t
         if (lo is not None and k <= lo) or (hi is not None and k >= hi):
             raise InvalidProof("keys are out of order")
-        a, x = node(left, lo, k)
-        if kind == "digest":
-            out.append(("digest", k))
-            d, own = v, extra
-        else:
-            out.append(("row", k, v, extra))
-            d, element = value_hashes([v])[0], deserialize(v)
-            own = element["count"] if element["kind"] in COUNTING else 1
-            if element["kind"] in KEYED_TREES or (element["kind"] in TREES and extra is not None):
-                d = blake3(d + (extra or ZERO))
-        if counted and own is None:
-            raise InvalidProof("a count is left out")
-        b, y = node(right, k, hi)
-        total = x + y + own if counted else 0
-        return node_hashes(kv_hashes([k], [d]), [a], [b], [total if counted else None])[0], total
-
-    if node(layer.tree, None, None)[0] != root:
+        if len(levels) == depth:
+            levels.append([])
+        levels[depth].append(t)
+        node(left, lo, k, depth + 1)
+        out.append(("digest", k) if kind == "digest" else ("row", k, v, extra))
+        node(right, k, hi, depth + 1)
+
+    node(layer.tree, None, None, 0)
+    nodes = [t for level in levels for t in level]
+    rows = [t for t in nodes if t[0] == "kv"]
+    own = {id(t): t[3] for t in nodes if t[0] == "digest"}
+    digests = {id(t): t[2] for t in nodes if t[0] == "digest"} | {id(t): d for t, d in zip(rows, value_hashes([t[2] for t in rows]), strict=True)}
+    below = []
+    for t in rows:
+        element = deserialize(t[2])
+        own[id(t)] = element["count"] if element["kind"] in COUNTING else 1
+        if element["kind"] in KEYED_TREES or (element["kind"] in TREES and t[3] is not None):
+            below.append(t)
+    digests |= {id(t): d for t, d in zip(below, blake3_many([digests[id(t)] + (t[3] or ZERO) for t in below]), strict=True)}
+    if counted and None in own.values():
+        raise InvalidProof("a count is left out")
+    kv = {id(t): h for t, h in zip(nodes, kv_hashes([t[1] for t in nodes], [digests[id(t)] for t in nodes]), strict=True)}
+    none = (ZERO, 0)
+    for level in reversed(levels):
+        sides = [tuple(none if x is None else known[id(x)] for x in t[4:]) for t in level]
+        totals = [own[id(t)] + a[1] + b[1] if counted else 0 for t, (a, b) in zip(level, sides, strict=True)]
+        hashes = node_hashes([kv[id(t)] for t in level], [a[0] for a, _ in sides], [b[0] for _, b in sides], [n if counted else None for n in totals])
+        known |= {id(t): x for t, x in zip(level, zip(hashes, totals, strict=True), strict=True)}
+    if (ZERO if layer.tree is None else known[id(layer.tree)][0]) != root:
         raise InvalidProof(f"the layer at {at} does not lead to its root")
     return out
 
@@ -808,7 +896,7 @@ def prove_trunk(nodes: DataFrame, path: Sequence[bytes], levels: int, hashes: Ha
             layer = layer.below[path[d]]
         else:
             show = lambda depth, a, b: depth < levels
-            layer.tree = _parts(nodes, hashes, d, {at: show})[at].partial(show, lambda k: True)
+            layer.tree = _chunk_part(nodes, hashes, at, [show]).partial(show, lambda k: True)
     return out
 
 
@@ -844,8 +932,20 @@ def _chunk(tree: tuple | None, levels: int, low: bytes | None, high: bytes | Non
 
 def prove_branch(nodes: DataFrame, path: Sequence[bytes], leaf: Leaf, levels: int, hashes: Hashes | None = None) -> Layer:
     """The next levels below a leaf of an earlier chunk."""
+    return prove_branches(nodes, path, [leaf], levels, hashes)[0]
+
+
+def prove_branches(nodes: DataFrame, path: Sequence[bytes], leaves: Sequence[Leaf], levels: int, hashes: Hashes | None = None) -> list[Layer]:
+    """The next levels below each of some leaves of earlier chunks, read together."""
     hashes = hashes or hash_forest(nodes)
     path = tuple(path)
+    shows = [_below(leaf, levels) for leaf in leaves]
+    part = _chunk_part(nodes, hashes, path, shows)
+    return [_branch(part, leaf, show) for leaf, show in zip(leaves, shows, strict=True)]
+
+
+def _below(leaf: Leaf, levels: int) -> Show:
+    """Opens the way to a leaf and so many levels below it."""
 
     def inside(a: bytes | None, b: bytes | None) -> bool:
         return (leaf.low is None or (a is not None and a >= leaf.low)) and (leaf.high is None or (b is not None and b <= leaf.high))
@@ -853,7 +953,6 @@ def prove_branch(nodes: DataFrame, path: Sequence[bytes], leaf: Leaf, levels: in
     def holds(a: bytes | None, b: bytes | None) -> bool:
         return (a is None or (leaf.low is not None and a <= leaf.low)) and (b is None or (leaf.high is not None and b >= leaf.high))
 
-    start = len(leaf.above)
     first = {"depth": None}
 
     def show(depth: int, a: bytes | None, b: bytes | None) -> bool:
@@ -863,12 +962,15 @@ def prove_branch(nodes: DataFrame, path: Sequence[bytes], leaf: Leaf, levels: in
             return depth < first["depth"] + levels
         return holds(a, b)
 
-    part = _parts(nodes, hashes, len(path), {path: show})[path]
+    return show
+
+
+def _branch(part: _Part, leaf: Leaf, show: Show) -> Layer:
     tree = part.partial(show, lambda k: (leaf.low is None or k > leaf.low) and (leaf.high is None or k < leaf.high))
     # Down to where the leaf is: past the keys above it.
     while tree is not None and tree[0] == "digest":
         tree = tree[5] if leaf.low is not None and tree[1] <= leaf.low else tree[4]
-    if tree is None or start > 128:
+    if tree is None or len(leaf.above) > 128:
         raise InvalidInput("there is nothing below this leaf")
     return Layer(tree)
 
@@ -882,6 +984,32 @@ def verify_branch(proof: Layer, leaf: Leaf, levels: int) -> Chunk:
     return chunk
 
 
+def elements_by_chunks(nodes: DataFrame, path: Sequence[bytes], keys: Sequence[bytes], trunk: int, branch: int, hashes: Hashes | None = None) -> dict[bytes, dict | None]:
+    """The element of each key, None where the tree has none, from a trunk of so many levels and the branches below it.
+
+    Branch after branch until all keys are settled: each is verified against
+    the leaf it hangs from, and lies between closer keys than the one above.
+    Those of a round are proved together.
+    """
+    if branch < 1:
+        raise InvalidInput("a branch has one level or more")
+    hashes = hashes or hash_forest(nodes)
+    out: dict[bytes, dict | None] = {}
+    todo = [(verify_trunk(prove_trunk(nodes, path, trunk, hashes), path, trunk, root_hash_of(hashes)), list(keys))]
+    while todo:
+        below: dict[Leaf, list[bytes]] = {}
+        for chunk, asked in todo:
+            for k in asked:
+                leaf = chunk.trace(k)
+                if leaf is None:
+                    out[k] = chunk.elements.get(k)
+                else:
+                    below.setdefault(leaf, []).append(k)
+        proofs = prove_branches(nodes, path, list(below), branch, hashes) if below else []
+        todo = [(verify_branch(p, leaf, branch), asked) for p, (leaf, asked) in zip(proofs, below.items(), strict=True)]
+    return out
+
+
 def trunk_query(proof: Layer, path: Sequence[bytes], levels: int, root: bytes, keys: Sequence[bytes]) -> dict[bytes, dict | Leaf | None]:
     """For each key what a trunk says: its element, the leaf to ask further, or None where it is not in the tree."""
     chunk = verify_trunk(proof, path, levels, root)

@@ -1,15 +1,18 @@
 import random
+import signal
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+import sylvan.extra_queries  # noqa: F401
 from sylvan import errors, model as m
 from sylvan.functions import flags, hashing, scalar, serde
 from sylvan.model import Reference, element, int_key
 from sylvan.operators import aggregates, integrity, logs, read, references, writes
 from sylvan.plans.compile import Options, query_raw
 from sylvan.plans.query import AggregateSumQuery, PathQuery, Query, key, span
+from sylvan.queries import QUERIES
 from sylvan.sources import store
 
 A, B = b"test_leaf", b"test_leaf2"
@@ -616,6 +619,36 @@ def test_depths_and_trunks(spark):
             integrity.verify_branch(integrity.prove_branch(nodes, (A,), chunk.leaves[0], 2, hashes), chunk.leaves[1], 2)
 
 
+def test_elements_by_chunks(spark):
+    """Leaves of several rounds share a neighbour: the leftmost have none on their left in any round."""
+    keys = [int_key(2 * i) for i in range(60)]
+    nodes = m.frame(spark, [element([], A, m.PROVABLE_COUNT_TREE)] + [element([A], k, m.ITEM, item=k) for k in keys])
+    for block in (4096, 10, 3):
+        hashes = integrity.hash_forest(nodes, block=block)
+        found = integrity.elements_by_chunks(nodes, (A,), [*keys, int_key(1), int_key(999)], 2, 1 if block == 10 else 2, hashes)
+        assert {k: e and e["item"] for k, e in found.items()} == {k: k for k in keys} | {int_key(1): None, int_key(999): None}
+    with pytest.raises(errors.InvalidInput):
+        integrity.elements_by_chunks(nodes, (A,), keys, 2, 0)
+
+
+def test_trunk_and_branches_of_more_levels_than_two_chunks(spark, tmp_path):
+    """2^17 orders have 18 levels, the trunk and one branch 17: this went round without end."""
+    n = 1 << 17
+    spark.range(n).select(F.col("id").alias("o_orderkey"), (F.col("id") / 100).alias("o_totalprice")).write.parquet(str(tmp_path / "orders.parquet"))
+
+    def late(*_):
+        raise TimeoutError("no end after 300 s")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(300)
+    try:
+        rows = QUERIES["trunk_and_branches"](spark, str(tmp_path)).collect()
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    assert [tuple(r) for r in rows] == [(k, k) for k in range(25)]
+
+
 # Bytes
 
 
